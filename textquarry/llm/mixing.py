@@ -53,9 +53,10 @@ def newton_rate(size: Column, target: Column, steps: int = NEWTON_STEPS) -> Colu
     return F.when((size > 0) & (target > 0), solved).otherwise(0.0)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken; one row a row of docs."""
-    sizes = materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, keep: list[Column] | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken and the columns `keep`; one row a row of docs."""
+    sizes = materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"), *(keep or [])), "mix-sizes")
+    kept = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
     goal = targets(sizes, weights, most).withColumn("rate", newton_rate(F.col("source_size").cast("double"), F.col("target")))
     goal = goal.withColumn("extra", F.round((F.col("rate") - F.floor("rate")) * F.col("source_size"), 3))
     goal = materialize(goal.withColumnRenamed("source", "of_source"), "mix-rates")
@@ -70,4 +71,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float
     out = out.join(goal, out["source"].eqNullSafe(goal["of_source"]), "left")
     copies = F.floor("rate") + F.when(F.col("ahead") + F.col("within") + F.col("size") / 2 < F.col("extra"), 1).otherwise(0)
     out = out.withColumn("copies", F.least(copies, F.lit(int(most))).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *kept)
+
+
+def take_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """docs with all its columns, each row standing as often as the mix takes it. Rows of equal id and
+    text are one document with the sum of their copies; rows never taken go."""
+    key = F.xxhash64("text").alias("__mix_key")
+    taken = mix_sources(docs, weights, most, keep=[key]).groupBy("doc_id", "__mix_key").agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
+    taken = taken.withColumnsRenamed({"doc_id": "__mix_id", "__mix_key": "__mix_text"})
+    rows = docs.withColumn("__mix_key", key).dropDuplicates(["doc_id", "__mix_key"])
+    out = rows.join(taken, rows["doc_id"].eqNullSafe(taken["__mix_id"]) & (rows["__mix_key"] == taken["__mix_text"]))
+    return out.select(*[out[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
