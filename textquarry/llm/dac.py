@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import map_arrow, scratch_path
 from .words import texts
 
 MAGIC = b"DAC1"
@@ -213,7 +213,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
             yield shard()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    ordered.mapInArrow(encode, "part int, seq long, before long, n_docs long, n_tokens long, payload binary").write.parquet(path)
+    ordered.transform(map_arrow, encode, "part int, seq long, before long, n_docs long, n_tokens long, payload binary").write.parquet(path)
     return path
 
 
@@ -237,7 +237,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                 sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins, shard.ends, strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": shard.doc_ids, "start": first + begins, "n_tokens": shard.ends - begins, "ids_crc32": sums}, schema=_DIGESTS)
 
-    return shards.select("part", "before", "payload").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "before", "payload").transform(map_arrow, digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, path: str | None = None, **options) -> DataFrame:

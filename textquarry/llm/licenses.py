@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .words import ITEM_BYTES, LOWER_BYTES, texts
 
 #: Phrases that make the base, and their labels.
@@ -173,4 +174,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, _ARROW[1:], strict=True))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, scan, SCHEMA)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import map_arrow, materialize, scratch_path
 from .words import LOWER_BYTES, texts
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -97,7 +97,7 @@ def keys_of(docs: DataFrame, batches: int) -> DataFrame:
                 of += [zlib.crc32(str(doc).encode()) % batches] * len(found)
             yield pa.RecordBatch.from_pydict({"key": pa.array(out, pa.int64()), "batch": pa.array(of, pa.int32())})
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(keys, "key long, batch int")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").transform(map_arrow, keys, "key long, batch int")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 3, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -133,7 +133,7 @@ def _drop_by_broadcast(docs: DataFrame, frequent: DataFrame) -> DataFrame:
                 gone.append(len(lines) - len(rest))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(drop, "doc_id long, text string, n_lines long, n_dropped long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, drop, "doc_id long, text string, n_lines long, n_dropped long")
 
 
 def _drop_by_join(docs: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def _drop_by_join(docs: DataFrame, frequent: DataFrame) -> DataFrame:
             found = [(r, i, k) for r, t in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True) for i, k in enumerate(map(line_key, t.split(b"\n"))) if k is not None]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else ((), (), ()), (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["row", "pos", "key"])
 
-    at = rows.select("row", "text").mapInArrow(positions, "row long, pos int, key long")
+    at = rows.select("row", "text").transform(map_arrow, positions, "row long, pos int, key long")
     gone = at.join(frequent, "key", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("gone"))
     lines = F.split("text", "\n", -1)
     rest = F.filter(lines, lambda x, i: F.col("gone").isNull() | ~F.array_contains("gone", i))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 from .words import LOWER_BYTES, WordHashes, shingle_set, texts
 
 WIDTH = 5
@@ -71,7 +71,7 @@ def sketch(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
             low = [s[:k].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, run, "doc_id long, n long, digest binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -84,7 +84,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH, broadcast_ids
         for batch in it:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(_set_of(t, cache, width)) for t in texts(batch, "text")], pa.binary())], ["doc", "items"])
 
-    return wanted.mapInArrow(run, "doc long, items binary")
+    return wanted.transform(map_arrow, run, "doc long, items binary")
 
 
 def inverted_lists(classes: DataFrame, k: int = K, shared: int = SHARED) -> DataFrame:
@@ -128,7 +128,7 @@ def short_links(lists: DataFrame, classes: DataFrame, sets: DataFrame, k: int =
             ok = [_linked(_unpack(x), _unpack(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.select("a", "b", "i_a", "i_b").mapInArrow(verify, "a long, b long")
+    return joined.select("a", "b", "i_a", "i_b").transform(map_arrow, verify, "a long, b long")
 
 
 def long_links(lists: DataFrame, sets: DataFrame, short: int = SHORT, chunk: int = CHUNK_SHINGLES) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, map_arrow
 from .words import LOWER_BYTES, WordHashes, texts
 
 MAX_ROWS = 6_000
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Machine:
             found = [features(t, cache) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float64())), batch.column(2)], ["doc_id", "at", "x", "label"])
 
-    rows = labelled_sample(docs, labels, "quality", most).mapInArrow(extract, "doc_id long, at array<int>, x array<double>, label int").toArrow().to_pylist()
+    rows = labelled_sample(docs, labels, "quality", most).transform(map_arrow, extract, "doc_id long, at array<int>, x array<double>, label int").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], len(r["at"])))
     return fit([(np.array(r["at"]), np.array(r["x"]), r["label"]) for r in rows])
 
@@ -128,7 +128,7 @@ def score_quality(docs: DataFrame, machine: Machine) -> DataFrame:
         for batch in it:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(*features(t, cache)) for t in texts(batch, "text")], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, score, "doc_id long, score double")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -146,4 +146,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS, threshol
         for batch in it:
             yield batch.filter(pa.array([model.score(*features(t, cache)) >= threshold for t in texts(batch, "text")], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.transform(map_arrow, keep, docs.schema)

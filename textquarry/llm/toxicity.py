@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, map_arrow
 from .quality import labelled_sample
 from .words import ITEM_BYTES, WordHashes, texts
 
@@ -89,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Ordinal:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "words", "label"])
 
     spark = docs.sparkSession
-    words = labelled_sample(docs, labels, "toxic", most).mapInArrow(extract, "doc_id long, words array<long>, label int")
+    words = labelled_sample(docs, labels, "toxic", most).transform(map_arrow, extract, "doc_id long, words array<long>, label int")
     path = _kept(spark, words)
     rows = spark.read.parquet(path)
     one = rows.select("label", F.explode(F.array_distinct("words")).alias("word"))
@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Ordinal:
             sizes = [len(h) for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([a for _, a in found], pa.list_(pa.int64())), pa.array(sizes, pa.int64()), batch.column(2)], ["doc_id", "x", "at", "size", "label"])
 
-    got = rows.mapInArrow(shrink, "doc_id long, x array<double>, at array<long>, size long, label int").toArrow().to_pylist()
+    got = rows.transform(map_arrow, shrink, "doc_id long, x array<double>, at array<long>, size long, label int").toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["size"]))
     share = lambda r: sum(np.expm1(r["x"])) / max(1, r["size"])
     toxic = sorted(share(r) for r in got if r["label"])
@@ -134,6 +134,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) ->
             got = [model.expected(*model.features(cache.of(t.translate(ITEM_BYTES).split()))) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e for e, _ in got], pa.float64()), pa.array([p for _, p in got], pa.float64())], ["doc_id", "expected_severity", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, expected_severity double, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, score, "doc_id long, expected_severity double, score double")
     toxic = F.col("score") >= 0.5
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_severity", "score", F.when(toxic, F.greatest(F.lit(1), F.round("expected_severity").cast("int"))).otherwise(0).alias("severity"), toxic.cast("int").alias("predicted"))
