@@ -11,3 +11,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "kw_or"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query, with its SQL where there is one."""
+
+    def add(run: Query) -> Query:
+        QUERIES[name] = run
+        if sql:
+            ORACLES[name] = sql
+        return run
+
+    return add
