@@ -54,26 +54,28 @@ def _in_any(ends: Column, size: int, distance: int):
 def matched(blocks: DataFrame, query: Query) -> DataFrame:
     """blocks (doc_key, block_index, tokens) with n_tokens, tf (one a scored unit), own (one a phrase: whether
     the block holds it) and hit (whether the tree is true)."""
-    tokens, units = F.col("tokens"), []
+    tokens = F.col("tokens")
     columns: dict[str, Column] = {}
     for i, p in enumerate(query.phrases):
         columns[f"__p{i}"] = positions(tokens, p)
     index = {p: F.col(f"__p{i}") for i, p in enumerate(query.phrases)}
     placed = blocks.withColumns(columns)
 
-    def truth(x) -> Column:
+    def truth(x) -> tuple[Column, list[tuple[int, Column]]]:
+        """Whether a subtree matches, and its scored units; units below an AND or NOT that fails count nothing."""
         if isinstance(x, Phrase):
-            units.append((query.phrases.index(x), F.size(index[x])))
-            return F.size(index[x]) > 0
+            return F.size(index[x]) > 0, [(query.phrases.index(x), F.size(index[x]))]
         if isinstance(x, Near):
             kept = near_positions([index[p] for p in x.phrases], [len(p.words) for p in x.phrases], x.distance)
             sizes = [F.size(k) for k in kept]
-            units.extend((query.phrases.index(p), s) for p, s in zip(x.phrases, sizes, strict=True))
-            return reduce(lambda a, b: a & b, [s > 0 for s in sizes])
-        left, right = truth(x.left), truth(x.right)
-        return left & right if x.kind == "and" else left | right if x.kind == "or" else left & ~right
-
-    hit = truth(query.tree)
+            return reduce(lambda a, b: a & b, [s > 0 for s in sizes]), [(query.phrases.index(p), s) for p, s in zip(x.phrases, sizes, strict=True)]
+        (left, some), (right, more) = truth(x.left), truth(x.right)
+        if x.kind == "or":
+            return left | right, some + more
+        node = left & right if x.kind == "and" else left & ~right
+        return node, [(u, F.when(node, s).otherwise(0)) for u, s in some + more]
+
+    hit, units = truth(query.tree)
     out = placed.select(
         *[c for c in blocks.columns if c != "tokens"],
         F.size("tokens").alias("n_tokens"),

@@ -73,12 +73,13 @@ def _keyword(name: str, text: str, sql: str) -> None:
         return search.search(raw_blocks(spark, sf_dir), text)
 
 
-_keyword("kw_or", "heinor OR there OR stonin", _bm25({"a": _one("heinor"), "b": _one("there"), "c": _one("stonin")}, "len(a) > 0 OR len(b) > 0 OR len(c) > 0") + BEST + TOP10)
+_keyword("kw_or", "with OR there OR stonin", _bm25({"a": _one("with"), "b": _one("there"), "c": _one("stonin")}, "len(a) > 0 OR len(b) > 0 OR len(c) > 0") + BEST + TOP10)
 _keyword("kw_and", "the of is", _bm25({"a": _one("the"), "b": _one("of"), "c": _one("is")}, "len(a) > 0 AND len(b) > 0 AND len(c) > 0") + BEST + TOP10)
 _keyword("kw_not", "that NOT the", _bm25({"a": _one("that"), "b": _one("the")}, "len(a) > 0 AND NOT len(b) > 0") + BEST + TOP10)
 _keyword("kw_prefix", "ther*", _bm25({"a": _positions(["ther"], True)}, "len(a) > 0") + BEST + TOP10)
 _keyword("kw_phrase", '"of the"', _bm25({"a": _one("of", "the")}, "len(a) > 0") + BEST + TOP10)
-_keyword("kw_precedence", "with OR that the NOT of", _bm25({"a": _one("with"), "b": _one("that"), "c": _one("the"), "d": _one("of")}, "len(a) > 0 OR (len(b) > 0 AND len(c) > 0 AND NOT len(d) > 0)") + BEST + TOP10)
+_PAIR = "(len(b) > 0 AND len(c) > 0 AND NOT len(d) > 0)"
+_keyword("kw_precedence", "with OR that the NOT of", _bm25({"a": _one("with"), "b": _one("that"), "c": _one("the"), "d": _one("of")}, f"len(a) > 0 OR {_PAIR}", tf={"a": "len(a)"} | {x: f"CASE WHEN {_PAIR} THEN len({x}) ELSE 0 END" for x in "bc"}) + BEST + TOP10)
 _keyword("kw_parentheses", "(with OR that) AND (la OR the)", _bm25({"a": _one("with"), "b": _one("that"), "c": _one("la"), "d": _one("the")}, "(len(a) > 0 OR len(b) > 0) AND (len(c) > 0 OR len(d) > 0)") + BEST + TOP10)
 _keyword("kw_fallback", "foo:the of-is", _bm25({"z": _one("foo"), "a": _one("the"), "b": _one("of"), "c": _one("is")}, "len(z) > 0 AND len(a) > 0 AND len(b) > 0 AND len(c) > 0") + BEST + TOP10)
 _NEAR = {x: f"len(list_filter({x}, lambda p: len(list_filter({y}, lambda q: abs(p - q) <= 4)) > 0))" for x, y in (("a", "b"), ("b", "a"))}
@@ -441,3 +442,48 @@ def key_conflicts(spark, sf_dir):
 @query("distinct_segments", "SELECT event_type, count(DISTINCT user_id) AS segments FROM events GROUP BY event_type")
 def distinct_segments(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("segments"))
+
+
+@query("html_blocks")
+def html_blocks(spark, sf_dir):
+    from .sources.markup import markdown_of_html
+
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_key"), markdown_of_html(F.col("html")).alias("markdown"))
+    return B.annotate(B.markdown_elements(pages, "doc_key", "markdown")).select("doc_key", "block_index", "block_type", "heading_level", "text", F.array_join("section_path", " / ", "").alias("path"))
+
+
+@query("file_types", "SELECT page_id, CASE WHEN regexp_matches(url, '(?i)\\.pdf$') THEN 'pdf' WHEN regexp_matches(url, '(?i)\\.epub$') THEN 'epub' WHEN regexp_matches(url, '(?i)\\.html?$') THEN 'html' WHEN regexp_matches(url, '(?i)\\.txt$') THEN 'txt' ELSE 'other' END AS kind FROM pages")
+def file_types(spark, sf_dir):
+    from .sources.bibliography import file_type
+
+    return read(spark, sf_dir, "pages").select("page_id", file_type(F.col("url")).alias("kind"))
+
+
+@query("doc_keys", "SELECT page_id, sha1(url) AS doc_key FROM pages")
+def doc_keys(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.sha1(F.col("url").cast("binary")).alias("doc_key"))
+
+
+@query("short_titles", "WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || ': ' || lang WHEN doc_id % 3 = 1 THEN source || '-' || lang ELSE source || ' - ' || lang END AS t FROM documents) SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN NULL ELSE source END AS short FROM t JOIN documents USING (doc_id)")
+def short_titles(spark, sf_dir):
+    from .functions.items import short_title
+
+    k = F.pmod("doc_id", F.lit(3))
+    sep = F.when(k == 0, ": ").when(k == 1, "-").otherwise(" - ")
+    return read(spark, sf_dir, "documents").select("doc_id", short_title(F.concat("source", sep, "lang")).alias("short"))
+
+
+@query("years", "SELECT o_orderkey, regexp_extract(o_orderdate::VARCHAR, '\\d{4}') AS year FROM orders")
+def years(spark, sf_dir):
+    from .functions.items import year_of
+
+    return read(spark, sf_dir, "orders").select("o_orderkey", year_of(F.lit(None).cast("string"), F.col("o_orderdate").cast("string")).alias("year"))
+
+
+@query("sections", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents) SELECT doc_id AS doc_key, count(*) FILTER (trim(line) <> '' AND p % 5 = 1) AS headings, count(*) FILTER (trim(line) <> '' AND p % 5 <> 1) AS below FROM l GROUP BY doc_id")
+def sections(spark, sf_dir):
+    e = elements(spark, sf_dir)
+    head = F.pmod("pos", F.lit(5)) == 0
+    e = e.withColumn("block_type", F.when(head, "heading").otherwise("paragraph")).withColumn("heading_level", F.when(head, F.pmod(F.col("pos") / 5, F.lit(3)).cast("int") + 1))
+    b = B.section_paths(e).where("trim(text) <> ''")
+    return b.groupBy("doc_key").agg(F.count_if(F.col("block_type") == "heading").alias("headings"), F.count_if((F.col("block_type") != "heading")).alias("below"))
