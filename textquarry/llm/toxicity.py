@@ -2,8 +2,8 @@
 
 Grades run from 0 (clean) to 3 (severe): P(grade <= j) = logistic(threshold_j - w.x) with one weight
 vector for all ordered thresholds. Labels only say toxic or not, so the training grades of toxic rows
-are drawn from how much of the text is made of words found nearly only in toxic rows: below the lower
-third of the toxic rows is grade 1, above the upper third 3. Features are the words (exact 64-bit
+are drawn from how often words stand in them that are found nearly only in toxic rows: up to the lower
+third of the toxic rows it is grade 1, above the upper third 3. Features are the words (exact 64-bit
 hashes, so that rare words cannot collide) that the sample ties to toxic rows; values are log(1 + times).
 The expected severity is the mean grade under the model. Fitted on a bounded sample of labelled rows
 (MAX_ROWS), never on held-out ones; all texts are scored whole. Null and empty texts have no features;
@@ -27,7 +27,7 @@ from .words import ITEM_BYTES, WordHashes, texts
 MAX_ROWS = 20_000
 GRADES = 4
 #: A word becomes a feature if so many sampled rows have it and so large a share of them is toxic.
-MIN_ROWS, MIN_SHARE = 4, 0.6
+MIN_ROWS, MIN_SHARE = 4, 0.9
 
 
 @dataclass
@@ -54,7 +54,7 @@ def _logistic(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], width: int, vocabulary: np.ndarray, steps: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Ordinal:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], width: int, vocabulary: np.ndarray, steps: int = 500, rate: float = 0.5, decay: float = 1e-6) -> Ordinal:
     """Full-batch gradient descent with per-weight step sizes; cuts stay ordered as the first plus positive gaps."""
     w, first, gaps = np.zeros(width), 2.0, np.zeros(GRADES - 2)
     index = np.concatenate([np.full(len(a), i) for i, (_, a, _) in enumerate(rows)]) if rows else np.zeros(0, int)
@@ -106,12 +106,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Ordinal:
 
     got = rows.transform(map_arrow, shrink, "doc_id long, x array<double>, at array<long>, size long, label int").toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["size"]))
-    share = lambda r: sum(np.expm1(r["x"])) / max(1, r["size"])
-    toxic = sorted(share(r) for r in got if r["label"])
+    times = lambda r: sum(np.expm1(r["x"]))
+    toxic = sorted(times(r) for r in got if r["label"])
     if not toxic:
         return Ordinal(vocabulary[:0], np.zeros(0), np.array([35.0, 36.0, 37.0]))
     low, high = toxic[len(toxic) // 3], toxic[2 * len(toxic) // 3]
-    grade = lambda r: 0 if not r["label"] else 1 + (share(r) > low) + (share(r) > high)
+    grade = lambda r: 0 if not r["label"] else 1 + (times(r) > low) + (times(r) > high)
     return fit([(np.array(r["x"]), np.array(r["at"], dtype=int), grade(r)) for r in got], len(vocabulary), vocabulary)
 
 
