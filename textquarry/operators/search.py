@@ -62,6 +62,13 @@ def search(blocks: DataFrame, text: str, limit: int = 10, min_score: float | Non
     return out if min_score is None else out.where(F.col("score") >= min_score)
 
 
+def search_index(postings: DataFrame, stats: DataFrame, text: str, limit: int = 10, allowed: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
+    """`search` over a stored index: postings and block_stats (see operators.index)."""
+    hits = match.search_index(postings, stats, _parsed(text, stemmed), allowed)
+    hits = hits.select("doc_key", "block_index", F.round("score", SCORE_DIGITS).alias("score"))
+    return best_of_document(hits).orderBy(F.desc("score"), "doc_key").limit(limit)
+
+
 def search_batch(blocks: DataFrame, texts: dict[str, str], limit: int = 10, stemmed: bool = False) -> DataFrame:
     """Many queries over one tokenised corpus: a branch a query, ranked together."""
     base = tokenised(blocks, stemmed).drop("text")

@@ -52,14 +52,39 @@ def _in_any(ends: Column, size: int, distance: int):
 
 
 def matched(blocks: DataFrame, query: Query) -> DataFrame:
-    """blocks (doc_key, block_index, tokens) with n_tokens, tf (one a scored unit), own (one a phrase: whether
-    the block holds it) and hit (whether the tree is true)."""
+    """blocks (doc_key, block_index, tokens) with n_tokens, tf (one a scored unit), unit (its phrase's number),
+    own (one a phrase: whether the block holds it) and hit (whether the tree is true)."""
     tokens = F.col("tokens")
-    columns: dict[str, Column] = {}
-    for i, p in enumerate(query.phrases):
-        columns[f"__p{i}"] = positions(tokens, p)
+    placed = blocks.withColumns({f"__p{i}": positions(tokens, p) for i, p in enumerate(query.phrases)})
+    return _judged(placed.withColumn("n_tokens", F.size("tokens")), query)
+
+
+def matched_in_index(postings: DataFrame, query: Query) -> DataFrame:
+    """The same from postings, of the blocks that hold any of the query's words. The terms are literals, so the
+    scan prunes to them; positions of one block meet in one row, and phrases are intersections of shifted lists."""
+    slots = list(dict.fromkeys((w, p.prefix and k == len(p.words) - 1) for p in query.phrases for k, w in enumerate(p.words)))
+    term = F.col("term")
+    tests = [term.startswith(w) if prefix else term == w for w, prefix in slots]
+    rows = postings.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
+    found = [F.array_sort(F.flatten(F.collect_list(F.when(t, F.col("positions"))))).alias(f"__s{i}") for i, t in enumerate(tests)]
+    blocks = rows.groupBy("doc_key", "block_index", "n_tokens").agg(*found) if found else rows.select("doc_key", "block_index", "n_tokens")
+
+    def places(p: Phrase) -> Column:
+        if not p.words:
+            return F.array().cast("array<int>")
+        at = [F.col(f"__s{slots.index((w, p.prefix and k == len(p.words) - 1))}") for k, w in enumerate(p.words)]
+        return reduce(F.array_intersect, [_shifted(c, k) for k, c in enumerate(at)])
+
+    placed = blocks.withColumns({f"__p{i}": places(p) for i, p in enumerate(query.phrases)})
+    return _judged(placed.drop(*[f"__s{i}" for i in range(len(slots))]), query)
+
+
+def _shifted(places: Column, k: int) -> Column:
+    return F.transform(places, lambda x: x - k)
+
+
+def _judged(placed: DataFrame, query: Query) -> DataFrame:
     index = {p: F.col(f"__p{i}") for i, p in enumerate(query.phrases)}
-    placed = blocks.withColumns(columns)
 
     def truth(x) -> tuple[Column, list[tuple[int, Column]]]:
         """Whether a subtree matches, and its scored units; units below an AND or NOT that fails count nothing."""
@@ -77,8 +102,7 @@ def matched(blocks: DataFrame, query: Query) -> DataFrame:
 
     hit, units = truth(query.tree)
     out = placed.select(
-        *[c for c in blocks.columns if c != "tokens"],
-        F.size("tokens").alias("n_tokens"),
+        *[c for c in placed.columns if c != "tokens" and not c.startswith("__p")],
         F.array(*[s for _, s in units]).alias("tf"),
         F.array(*[F.size(index[p]) > 0 for p in query.phrases]).alias("own"),
         hit.alias("hit"),
@@ -92,6 +116,13 @@ def corpus_figures(matches: DataFrame, phrases: int) -> DataFrame:
     return matches.agg(F.count("*").alias("n_blocks"), F.avg("n_tokens").alias("mean_tokens"), df.alias("df"))
 
 
+def index_figures(stats: DataFrame, matches: DataFrame, phrases: int) -> DataFrame:
+    """The same from block_stats and the blocks that hold any word of the query."""
+    size = stats.agg(F.count("*").alias("n_blocks"), F.avg("n_tokens").alias("mean_tokens"))
+    df = F.array(*[F.count_if(F.get("own", F.lit(i))) for i in range(phrases)])
+    return size.join(F.broadcast(matches.agg(df.alias("df"))))  # one row each
+
+
 def scored(matches: DataFrame, figures: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """Blocks that match, with BM25 scores; `allowed` (doc_key) filters rows but not the corpus figures."""
     rows = matches.where("hit")
@@ -108,3 +139,8 @@ def scored(matches: DataFrame, figures: DataFrame, allowed: DataFrame | None = N
 def search_blocks(blocks: DataFrame, query: Query, allowed: DataFrame | None = None) -> DataFrame:
     m = matched(blocks, query)
     return scored(m, corpus_figures(m, len(query.phrases)), allowed)
+
+
+def search_index(postings: DataFrame, stats: DataFrame, query: Query, allowed: DataFrame | None = None) -> DataFrame:
+    m = matched_in_index(postings, query)
+    return scored(m, index_figures(stats, m, len(query.phrases)), allowed)

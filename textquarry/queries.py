@@ -115,6 +115,15 @@ def kw_batch(spark, sf_dir):
     return search.search_batch(raw_blocks(spark, sf_dir), _BATCH)
 
 
+_INDEXED = {"a": _one("of", "the"), "b": _positions(["ther"], True), "c": _one("is")}
+
+
+@query("kw_from_index", _bm25(_INDEXED, "(len(a) > 0 OR len(b) > 0) AND NOT len(c) > 0", tf={x: f"CASE WHEN len(c) > 0 THEN 0 ELSE len({x}) END" for x in "ab"}) + BEST + TOP10)
+def kw_from_index(spark, sf_dir):
+    t = search.tokenised(raw_blocks(spark, sf_dir))
+    return search.search_index(index.postings(t), index.block_stats(t), '("of the" OR ther*) NOT is')
+
+
 @query("kw_stemmed")
 def kw_stemmed(spark, sf_dir):
     return search.search(raw_blocks(spark, sf_dir), "reading OR connections", stemmed=True)
