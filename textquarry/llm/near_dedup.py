@@ -88,7 +88,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH, broadcast_ids
 
 
 def inverted_lists(classes: DataFrame, k: int = K, shared: int = SHARED) -> DataFrame:
-    """value, doc, df: the retained values through which a class is looked for, where others have them too."""
+    """value, doc, n, df, home: the retained values through which a class is looked for, where others have them
+    too, each with the class's most common one."""
     each = classes.select("doc", "n", F.explode("sketch").alias("value"))
     common = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     seen = each.join(common, "value").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("seen"))
@@ -96,8 +97,9 @@ def inverted_lists(classes: DataFrame, k: int = K, shared: int = SHARED) -> Data
     need = F.when(F.col("n") > k, F.lit(shared)).otherwise(F.ceil(F.col("n") * PERCENT / 100.0))
     rare = size - F.size("seen")  # those that no other class retains come first
     first = F.greatest(F.lit(0), size - need + 1 - rare).cast("int")
-    out = seen.select("doc", F.explode(F.slice("seen", F.lit(1), first)).alias("s"))
-    return out.select("s.value", "doc", "s.df")
+    out = seen.select("doc", "n", F.slice("seen", F.lit(1), first).alias("kept")).where(F.size("kept") > 0)
+    out = out.select("doc", "n", F.element_at("kept", -1).alias("home"), F.explode("kept").alias("s"))
+    return out.select("s.value", "doc", "n", "s.df", "home")
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -134,9 +136,9 @@ def short_links(lists: DataFrame, classes: DataFrame, sets: DataFrame, k: int =
 def long_links(lists: DataFrame, sets: DataFrame, short: int = SHORT, chunk: int = CHUNK_SHINGLES) -> DataFrame:
     """a, b: a spanning forest of the links between classes that meet in a long list."""
     lists = lists.where(F.col("df") > short)
-    home = lists.groupBy("doc").agg(F.max(F.struct("df", "value")).alias("h")).select("doc", F.col("h.value").alias("home"))
-    size = sets.select("doc", (F.length("items") / 8).alias("n"))
-    placed = home.join(size, "doc")
+    # Lists that share classes come to share a home, so that a group of near copies stays together.
+    top = lists.groupBy("value").agg(F.max("home").alias("top"))
+    placed = lists.select("value", "doc", "n").join(top, "value").groupBy("doc", "n").agg(F.max("top")["value"].alias("home"))
     # A home's classes are dealt to as many chunks as their shingles fill.
     fill = placed.groupBy("home").agg(F.sum("n").alias("total")).select(F.col("home").alias("h"), F.ceil(F.col("total") / chunk).cast("int").alias("parts"))
     placed = placed.join(fill, F.col("home") == F.col("h")).select("doc", F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("chunk"))
