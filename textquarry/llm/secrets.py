@@ -72,11 +72,17 @@ def _chars(value: Column, i: Column) -> Column:
     return F.substring(value, i, F.lit(1))
 
 
-def corpus_words(docs: DataFrame, share_of: int = 50, most: int = 20_000) -> DataFrame:
-    """Negative samples in the corpus's own languages: at most `most` words of letters from one document in `share_of`."""
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share_of)) == 0).limit(1_000)
-    words = some.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b[A-Z]?[a-z]{7,}\b"), F.lit(0))).alias("value"))
-    return words.limit(most).select("value", F.lit(0).alias("label"))
+#: About so many documents give ordinary words for training, chosen by a hash of their ids.
+TRAINING_DOCS = 1_000
+
+
+def corpus_words(docs: DataFrame, most: int = TRAINING_DOCS) -> DataFrame:
+    """Negative samples in the corpus's own languages: words of letters from about `most` documents. They are
+    only counted, pair by pair, on the executors; the choice depends on ids and the number of rows alone."""
+    share = min(1.0, most / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b[A-Z]?[a-z]{7,}\b"), F.lit(0))
+    return some.select(F.explode(words).alias("value"), F.lit(0).alias("label"))
 
 
 def train(samples: DataFrame) -> np.ndarray:
