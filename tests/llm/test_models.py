@@ -168,6 +168,13 @@ def test_pieces_equal_whole_texts(text):
     assert np.frombuffer(cache.encode(text), "<u4").tolist() == whole_ids(text)[:-1]
 
 
+def test_other_vocabularies_are_encoded_whole():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cache, text = dac.PieceCache(path), "Some words  here\nand there"
+    assert not cache.by_model and not cache.by_piece
+    assert np.frombuffer(cache.encode(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def reachable(rows):
     """doc_id -> (set size, smallest reachable id), by comparing all pairs."""
     sets = {}

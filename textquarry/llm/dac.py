@@ -118,8 +118,9 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*]*)")
 class PieceCache(dict):
     """Piece between spaces -> its ids as little-endian bytes.
 
-    The vocabulary's pre-tokenizer drops white space and never joins across it, so a text's ids are its
-    pieces' ids in a row. Plain words skip the normalizer: their lower-case bytes go straight to the model.
+    Where the vocabulary's pre-tokenizer drops white space and never joins across it, a text's ids are its
+    pieces' ids in a row; of other vocabularies whole texts are encoded. Plain words skip the normalizer:
+    their lower-case bytes go straight to the model.
     """
 
     LIMIT = 600_000
@@ -131,6 +132,7 @@ class PieceCache(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.by_model = self._agrees()
+        self.by_piece = self.by_model or self._drops_space()
 
     def whole(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -147,6 +149,10 @@ class PieceCache(dict):
         except Exception:  # noqa: BLE001  a vocabulary of another kind: encode every piece the long way
             return False
 
+    def _drops_space(self) -> bool:
+        probe = ["The thing", "a  b\nc", "x.\ty 12"]
+        return all(self.whole(x) == b"".join(map(self.whole, x.replace("\n", " ").split(" "))) for x in probe)
+
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
@@ -170,6 +176,8 @@ class PieceCache(dict):
         return value
 
     def encode(self, text: str) -> bytes:
+        if not self.by_piece:
+            return self.whole(text)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
