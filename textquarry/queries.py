@@ -15,12 +15,13 @@ from .functions.text import words_only
 from .operators import blocks as B
 from .operators import diagnose, index, metadata, retrieve, search, sync, vectors
 from .registry import query
+from .sources.scan import spread
 
 WORD = r"([\p{L}\p{N}]+)"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
