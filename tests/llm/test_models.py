@@ -241,6 +241,8 @@ def test_pipeline(spark):
     components = reachable(good.select("doc_id", "text").collect())
     assert {r.doc_id for r in single.collect()} == {i for i, (_, c) in components.items() if i == c}
     assert {r.doc_id for r in clean.collect()} <= {r.doc_id for r in single.collect()}
+    texts = {r.doc_id: r.text for r in single.collect()}
+    assert all(len(r.text) <= len(texts[r.doc_id]) for r in clean.collect())
     assert tokens.count() == mixed.count()
     rows = sorted(mixed.select("doc_id", "text").collect())
     got = sorted(map(tuple, tokens.collect()), key=lambda r: r[1])

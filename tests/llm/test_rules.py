@@ -112,6 +112,20 @@ def test_decontamination(spark, name, broadcast):
     assert any(r[2] for r in want) or name == "sf"
 
 
+def test_leaks_are_removed(spark):
+    docs = fx.table(spark)
+    texts = fx.texts()
+    leak, other = "alpha beta gamma delta epsilon zeta eta theta iota", "one two three four five six seven eight"
+    planted = [(100, f"Before it, {leak.upper()}. After."), (101, f"{leak} and {other}"), (102, leak), (103, "nothing here"), (103, f"x {leak} y {leak}")]
+    docs = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string"), allowMissingColumns=True)
+    items = spark.createDataFrame([(1, leak), (2, other)], "item_id long, text string")
+    out = decontaminate.remove_leaks(docs, items)
+    assert out.columns == docs.columns and out.count() == docs.count() - 1
+    got = {(r.doc_id, r.text) for r in out.collect()}
+    assert {t for i, t in got if i and i >= 100} == {"Before it, After.", "", "nothing here", "x y "}
+    assert {(i, t) for i, t in enumerate(texts)} <= got
+
+
 def test_decontamination_without_items(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(r.n_hit == 0 and not r.contaminated for r in decontaminate.decontaminate(fx.table(spark), none).collect())

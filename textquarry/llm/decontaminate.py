@@ -49,7 +49,7 @@ def bit_set(windows: DataFrame, count: int, bits_each: int = BITS_EACH) -> np.nd
 
 
 def find_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """All of docs' columns and doc_row, n_words, n_hit, items (sorted ids of items with occurring windows),
+    """doc_id, text_key (hash of the text), doc_row, n_words, n_hit, items (sorted ids of items with occurring windows),
     spans (hit intervals of word places)."""
     windows = materialize(item_windows(items, width), "benchmark-windows")
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())
@@ -64,8 +64,8 @@ def find_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_broa
         word = F.get(gate, F.shiftright(at, 6).cast("int"))
         return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    d = docs.select("doc_id", F.monotonically_increasing_id().alias("doc_row"), words_of(F.col("text")).alias("words"))
-    d = d.select("doc_id", "doc_row", F.size("words").alias("n"), "words", word_hashes(F.col("words")).alias("hashes"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("doc_row"), words_of(F.col("text")).alias("words"))
+    d = d.select("doc_id", "text_key", "doc_row", F.size("words").alias("n"), "words", word_hashes(F.col("words")).alias("hashes"))
 
     def candidates(k: int) -> Column:
         at = F.filter(begins(F.col("n"), k), lambda i: passes(window_hash(F.col("hashes"), i, k)))
@@ -73,13 +73,13 @@ def find_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_broa
 
     found = [candidates(k) for k in lengths]
     empty = F.array().cast("array<struct<begin:int,end:int,win:string>>")
-    d = d.select("doc_id", "doc_row", "n", F.explode_outer(F.concat(*found) if found else empty).alias("hit"))
-    d = d.select("doc_id", "doc_row", "n", "hit.begin", "hit.end", F.col("hit.win").alias("doc_win"))
+    d = d.select("doc_id", "text_key", "doc_row", "n", F.explode_outer(F.concat(*found) if found else empty).alias("hit"))
+    d = d.select("doc_id", "text_key", "doc_row", "n", "hit.begin", "hit.end", F.col("hit.win").alias("doc_win"))
     known = windows.select("win", F.col("items").alias("of"))
     d = d.join(F.broadcast(known) if small else known, F.col("doc_win") == F.col("win"), "left")
     spans = F.collect_set(F.when(F.col("of").isNotNull(), F.struct("begin", "end")))
-    out = d.groupBy("doc_row", "doc_id", "n").agg(F.array_sort(spans).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items"))
-    return out.select("doc_id", "doc_row", F.col("n").cast("long").alias("n_words"), covered(F.col("spans")).cast("long").alias("n_hit"), "items", "spans")
+    out = d.groupBy("doc_row", "doc_id", "text_key", "n").agg(F.array_sort(spans).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items"))
+    return out.select("doc_id", "text_key", "doc_row", F.col("n").cast("long").alias("n_words"), covered(F.col("spans")).cast("long").alias("n_hit"), "items", "spans")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, min_items: int = MIN_ITEMS, width: int = WIDTH) -> DataFrame:
@@ -88,7 +88,39 @@ def decontaminate(docs: DataFrame, items: DataFrame, min_items: int = MIN_ITEMS,
     return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("items") >= min_items).alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, min_items: int = MIN_ITEMS, width: int = WIDTH) -> DataFrame:
-    """The rows of docs, with all their columns, that hold windows of fewer than min_items items."""
-    bad = find_windows(docs, items, width).where(F.size("items") >= min_items).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def merged(spans: Column) -> Column:
+    """Sorted intervals joined where they touch or overlap."""
+    kind = "array<struct<begin:int,end:int>>"
+    zero = F.struct(F.array().cast(kind).alias("done"), F.lit(-1).alias("begin"), F.lit(-1).alias("end"))
+    last = lambda acc: F.when(acc["begin"] >= 0, F.array(F.struct(acc["begin"].alias("begin"), acc["end"].alias("end")))).otherwise(F.array().cast(kind))
+
+    def step(acc, s):
+        joins = (acc["begin"] >= 0) & (s["begin"] <= acc["end"])
+        return F.struct(
+            F.when(joins, acc["done"]).otherwise(F.concat(acc["done"], last(acc))).alias("done"),
+            F.when(joins, acc["begin"]).otherwise(s["begin"]).alias("begin"),
+            F.when(joins, F.greatest(acc["end"], s["end"])).otherwise(s["end"]).alias("end"),
+        )
+
+    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["done"], last(acc)))
+
+
+def without_words(text: Column, spans: Column) -> Column:
+    """The text without the words at the places in the spans, nor what follows each of them up to the next word."""
+    raw = ITEM_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # before A-Z are lowered
+    words, gaps = F.regexp_extract_all(text, F.lit(raw), F.lit(0)), F.split(text, raw, -1)
+    inside = lambda i: F.exists(spans, lambda s: (s["begin"] <= i) & (i < s["end"]))
+    rest = F.transform(words, lambda w, i: F.when(inside(i), F.lit("")).otherwise(F.concat(w, F.get(gaps, i + 1))))
+    return F.concat(F.get(gaps, F.lit(0)), F.array_join(rest, ""))
+
+
+def remove_leaks(docs: DataFrame, items: DataFrame, min_items: int = MIN_ITEMS, width: int = WIDTH) -> DataFrame:
+    """The rows of docs, with all their columns: documents with windows of min_items items or more go, others
+    lose the words inside the windows they hold; texts without any stay as they are."""
+    hit = find_windows(docs, items, width).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
+    hit = hit.select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_text"), F.size("items").alias("__items"), merged(F.col("spans")).alias("__spans"))
+    keyed = docs.withColumn("__text_key", F.xxhash64("text"))
+    out = keyed.join(hit, keyed["doc_id"].eqNullSafe(hit["__hit_id"]) & (keyed["__text_key"] == hit["__hit_text"]), "left")
+    out = out.where(F.coalesce("__items", F.lit(0)) < min_items)
+    text = F.when(F.col("__spans").isNotNull(), without_words(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
+    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
