@@ -26,8 +26,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two or more benchmark items go."""
-    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents with windows of two or more benchmark items go; others lose the words of the windows they hold."""
+    return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
