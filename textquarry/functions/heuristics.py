@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .text import compact
 
-# Headings of reference lists, cues of references, publication words, boilerplate phrases.
+# Headings of reference lists, cues of references, publication words, boilerplate phrases, and the
+# patterns of a cited year, a citation's start, a contents title, a page count and a contents line.
 REFERENCE_HEADINGS = ("references", "bibliography", "works cited", "literature cited", "reference list")
 REFERENCE_HEADINGS_CJK = "参考文献"
 REFERENCE_CUES = ("available at", "retrieved from", r"doi\s*:", "https?://")
@@ -30,12 +31,14 @@ BOILERPLATE_PHRASES = (
     "preprint",
     "this version posted",
 )
+CITED_YEAR = r"\(\d{4}[a-z]?\)"
+CITATION_START = r"^[\p{L}\p{M}'’.-]+,\s+(?:\p{Lu}[\p{L}\p{M}'’.-]*|\p{Lu}\.)[\s\S]{0,120}\(\d{4}[a-z]?\)"
+CONTENTS_TITLE = r"(?i)^(?:contents|table of contents)$"
+PAGE_COUNT = r"(?i)^page \d+ of \d+$"
+CONTENTS_LINE = r"(?:^|[\s\S]{4,})\.{4,}\s*\d+\s*$"
 
 #: Word boundaries between ASCII word characters only.
 _B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-_CITED = r"\(\d{4}[a-z]?\)"
-#: "Family, Given ... (year)" at the start, within 120 characters.
-_CITATION = r"^[\p{L}\p{M}'’.-]+, +(?:\p{Lu}[\p{L}\p{M}'’.-]*|\p{Lu}\.)[\s\S]{0,120}" + _CITED
 
 
 def _any(words: tuple[str, ...]) -> str:
@@ -50,7 +53,7 @@ def reference_section(path: Column) -> Column:
 
 def reference_text(text: Column) -> Column:
     t = compact(text)
-    return (t != "") & (t.rlike(f"(?i){_any(REFERENCE_CUES)}") | t.rlike(_CITATION) | (t.rlike(_CITED) & t.rlike(f"(?i){_any(PUBLICATION_WORDS)}")))
+    return (t != "") & (t.rlike(f"(?i){_any(REFERENCE_CUES)}") | t.rlike(CITATION_START) | (t.rlike(CITED_YEAR) & t.rlike(f"(?i){_any(PUBLICATION_WORDS)}")))
 
 
 def reference_like(text: Column, path: Column) -> Column:
@@ -60,9 +63,9 @@ def reference_like(text: Column, path: Column) -> Column:
 def boilerplate_like(text: Column) -> Column:
     t = compact(text)
     phrase = t.rlike(f"(?i){_B}{_any(BOILERPLATE_PHRASES)}(?:{_E}|(?<=:))")
-    return (t != "") & (phrase | t.rlike("(?i)^(?:contents|table of contents)$") | t.rlike(r"(?i)^page \d+ of \d+$"))
+    return (t != "") & (phrase | t.rlike(CONTENTS_TITLE) | t.rlike(PAGE_COUNT))
 
 
 def contents_like(text: Column) -> Column:
     """A dot leader and a page number at the end."""
-    return compact(text).rlike(r"(?:^|[\s\S]{4,})\.{4,}\s*\d+\s*$")
+    return compact(text).rlike(CONTENTS_LINE)

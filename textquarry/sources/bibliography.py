@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 ARTICLE_TYPES = ("article", "article-journal", "article-magazine", "article-newspaper")
 BOOK_TYPES = ("book", "chapter", "report", "thesis", "paper-conference")
 
+# The fields of an exported item, and of a person.
 PERSON = "struct<family:string,given:string,literal:string>"
 ITEM = f"struct<id:string,title:string,abstract:string,publisher:string,type:string,author:array<{PERSON}>,editor:array<{PERSON}>,issued:struct<`date-parts`:array<array<string>>>,`container-title`:string,file:string,`zotero-item-key`:string>"
 #: Where a path begins: a root, a home, a file URL, a share or a drive.
