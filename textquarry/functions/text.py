@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -72,8 +72,15 @@ def diacritic_fold(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case runs of letters and numbers, CJK characters apart."""
-    return F.regexp_extract_all(F.lower(segment_cjk(c)), F.lit(f"({WORD})"), F.lit(1))
+    """Lower-case runs of letters and numbers, CJK characters apart; only texts that have some are segmented."""
+    apart = F.when(c.rlike(CJK), segment_cjk(c)).otherwise(c)
+    return F.regexp_extract_all(F.lower(apart), F.lit(WORD), F.lit(0))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns that later filters and projections read but never evaluate again: a generator of
+    one row stands between, through which the optimizer neither pushes nor inlines."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def occurrences(c: Column, literal: str) -> Column:

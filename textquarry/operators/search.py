@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.porter import stem, stem_all
-from ..functions.text import exact_text, occurrences, reflow, tokens, window
+from ..functions.text import exact_text, occurrences, once, reflow, tokens, window
 from ..plans import match, query
 from ..plans.query import Phrase, Query
 
@@ -20,7 +20,7 @@ SCORE_DIGITS = 4
 def tokenised(blocks: DataFrame, stemmed: bool = False) -> DataFrame:
     """doc_key, block_index, text, tokens of all blocks that are indexed: those whose text is not blank."""
     words = tokens(F.col("text"))
-    out = blocks.where(F.trim("text") != "").select("doc_key", "block_index", "text", words.alias("tokens"))
+    out = once(blocks.where(F.trim("text") != "").select("doc_key", "block_index", "text"), tokens=words)
     return out.withColumn("tokens", stem_all("tokens")) if stemmed else out
 
 

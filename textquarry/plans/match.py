@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from .query import Near, Op, Phrase, Query
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -55,8 +56,8 @@ def matched(blocks: DataFrame, query: Query) -> DataFrame:
     """blocks (doc_key, block_index, tokens) with n_tokens, tf (one a scored unit), unit (its phrase's number),
     own (one a phrase: whether the block holds it) and hit (whether the tree is true)."""
     tokens = F.col("tokens")
-    placed = blocks.withColumns({f"__p{i}": positions(tokens, p) for i, p in enumerate(query.phrases)})
-    return _judged(placed.withColumn("n_tokens", F.size("tokens")), query)
+    placed = once(blocks, n_tokens=F.size("tokens"), **{f"__p{i}": positions(tokens, p) for i, p in enumerate(query.phrases)})
+    return _judged(placed, query)
 
 
 def matched_in_index(postings: DataFrame, query: Query) -> DataFrame:
