@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from .common import ITEM_WORD, lower_ascii, materialize
 from .windows import begins, covered, window_hash, word_hashes
 
@@ -105,10 +106,13 @@ def merged(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["done"], last(acc)))
 
 
-def without_words(text: Column, spans: Column) -> Column:
-    """The text without the words at the places in the spans, nor what follows each of them up to the next word."""
-    raw = ITEM_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # before A-Z are lowered
-    words, gaps = F.regexp_extract_all(text, F.lit(raw), F.lit(0)), F.split(text, raw, -1)
+RAW_WORD = ITEM_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # before A-Z are lowered
+
+
+def without_words(words: Column, gaps: Column, spans: Column) -> Column:
+    """The text without the words at the places in the spans, nor what follows each of them up to the next word.
+    words and gaps (what stands before, between and after the words) must be columns: a lambda evaluates
+    expressions anew for every word."""
     inside = lambda i: F.exists(spans, lambda s: (s["begin"] <= i) & (i < s["end"]))
     rest = F.transform(words, lambda w, i: F.when(inside(i), F.lit("")).otherwise(F.concat(w, F.get(gaps, i + 1))))
     return F.concat(F.get(gaps, F.lit(0)), F.array_join(rest, ""))
@@ -122,5 +126,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, min_items: int = MIN_ITEMS,
     keyed = docs.withColumn("__text_key", F.xxhash64("text"))
     out = keyed.join(hit, keyed["doc_id"].eqNullSafe(hit["__hit_id"]) & (keyed["__text_key"] == hit["__hit_text"]), "left")
     out = out.where(F.coalesce("__items", F.lit(0)) < min_items)
-    text = F.when(F.col("__spans").isNotNull(), without_words(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
+    leaky = F.col("__spans").isNotNull()
+    out = once(out, __words=F.when(leaky, F.regexp_extract_all("text", F.lit(RAW_WORD), F.lit(0))), __gaps=F.when(leaky, F.split("text", RAW_WORD, -1)))
+    text = F.when(leaky, without_words(F.col("__words"), F.col("__gaps"), F.col("__spans"))).otherwise(F.col("text"))
     return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
