@@ -212,6 +212,19 @@ def test_near_duplicates(spark, name, options):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_links_between_whole_and_cut_sketches(spark, seed):
+    rng, rows, want = np.random.default_rng(seed), [], {}
+    for pair in range(400):
+        n = int(rng.integers(55, 65))
+        more = int(rng.integers(max(75, n), 86))
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, more + 4)]
+        rows += [(2 * pair, " ".join(words[: n + 4])), (2 * pair + 1, " ".join(words))]
+        want |= {2 * pair: (n, 2 * pair), 2 * pair + 1: (more, 2 * pair if 100 * n >= 75 * more else 2 * pair + 1)}
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_long_chains_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "a long, b long")
     got = {r.doc: r.component for r in near_dedup.components(links).collect()}

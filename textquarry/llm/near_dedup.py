@@ -5,8 +5,9 @@ equal sets fall into one class at once, whatever its size; only one of each clas
 
 1. Sketch: the K smallest hashes of the set. A pair with Jaccard 0.75 or more shares, among the K
    smallest of its union, Binomial(K, >= 0.75) values, so fewer than SHARED of them (27 of 64, six
-   standard deviations below) with a chance below 1e-8. Sets of at most K hashes are kept whole, and
-   then the share is exact.
+   standard deviations below) with a chance below 1e-8. Sets of at most K hashes are kept whole:
+   two of them share 0.75 of either exactly. A larger partner of such a set of n has at most n / 0.75
+   hashes and loses those above K, so at least K - n / 3 common values are retained by both.
 2. Inverted lists: a list holds the classes that retain a value. Since a true pair shares at least
    SHARED of its retained values, it shares one of the K - SHARED + 1 rarest of either: only those
    values of a sketch enter lists, rarest first by the number of classes retaining them. Passages that
@@ -94,7 +95,9 @@ def inverted_lists(classes: DataFrame, k: int = K, shared: int = SHARED) -> Data
     common = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     seen = each.join(common, "value").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("seen"))
     size = F.least("n", F.lit(k))
-    need = F.when(F.col("n") > k, F.lit(shared)).otherwise(F.ceil(F.col("n") * PERCENT / 100.0))
+    # Of a set kept whole, a partner kept whole holds so many, and one that is cut down to k at least so many.
+    whole, cut = F.ceil(F.col("n") * PERCENT / 100.0), F.ceil(F.lit(k) - F.col("n") * (100 - PERCENT) / PERCENT)
+    need = F.when(F.col("n") > k, F.lit(shared)).otherwise(F.least(whole, cut))
     rare = size - F.size("seen")  # those that no other class retains come first
     first = F.greatest(F.lit(0), size - need + 1 - rare).cast("int")
     out = seen.select("doc", "n", F.slice("seen", F.lit(1), first).alias("kept")).where(F.size("kept") > 0)
