@@ -7,7 +7,7 @@ derived from documents by rules on doc_id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import heuristics
@@ -261,14 +261,14 @@ def diagnose_summary(spark, sf_dir):
     return counts.join(docs.agg(F.count_distinct("doc_key").alias("d"))).select("scanned", "suspicious", "borderline", "ok", (F.col("d") - F.col("scanned")).alias("skipped"))
 
 
-def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bibliography(spark: SparkSession, sf_dir: str, abstract: Column | None = None) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return docs.select(
         F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("item_key"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.array("source", F.concat_ws(" ", "lang", "source")).alias("author_search_texts"),
         (F.lit(1950) + F.pmod("doc_id", F.lit(70))).cast("string").alias("year"),
-        F.substring("text", 1, 300).alias("abstract"),
+        (F.substring("text", 1, 300) if abstract is None else abstract).alias("abstract"),
         F.lit(None).cast("string").alias("journal"),
         F.col("lang").alias("publisher"),
         (F.pmod("doc_id", F.lit(3)) > 0).alias("has_supported_file"),
@@ -283,6 +283,15 @@ def metadata_search(spark, sf_dir):
     return metadata.search_metadata(bibliography(spark, sf_dir), "that the", limit=None).drop("title")
 
 
+_WHOLE = "n AS (SELECT *, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^\\pL\\pN]+', ' ', 'g')) AS nt, trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')) AS na FROM documents)"
+
+
+@query("metadata_search_whole", f"WITH {_WHOLE}, m AS (SELECT *, contains(nt, 'that the') AS mt, contains(na, 'that the') AS ma FROM n) SELECT lpad(doc_id::VARCHAR, 8, '0') AS item_key, (CASE WHEN mt THEN 6 ELSE 0 END + CASE WHEN ma THEN 3 ELSE 0 END)::BIGINT AS score, concat_ws(',', CASE WHEN mt THEN 'title' END, CASE WHEN ma THEN 'abstract' END) AS matched_fields, doc_id % 3 > 0 AS has_supported_file FROM m WHERE mt OR ma")
+def metadata_search_whole(spark, sf_dir):
+    """As metadata_search, whose SQL takes 300 characters for the abstract; here it is the whole text."""
+    return metadata.search_metadata(bibliography(spark, sf_dir, F.col("text")), "that the", limit=None).drop("title")
+
+
 @query("metadata_filters", f"WITH {_BIB} SELECT item_key, 6::BIGINT AS score, 'author,year' AS matched_fields FROM n WHERE contains(au, 'src1') AND contains(year, '198') AND has_supported_file")
 def metadata_filters(spark, sf_dir):
     return metadata.search_metadata(bibliography(spark, sf_dir), filters={"author": "src1", "year": "198"}, has_file=True, limit=None).select("item_key", "score", "matched_fields")
