@@ -242,6 +242,28 @@ def test_line_runs_are_levelled_and_exact(spark):
     assert all(len(level) < 2 for level in runs.levels) and len(runs.levels) > 1 and runs.settled
 
 
+def test_line_dedup_settles_keys_at_its_defaults(spark, monkeypatch):
+    made, without = [], []
+
+    class Watched(line_dedup.LineRuns):
+        def __init__(self, *args, **options):
+            super().__init__(*args, **options)
+            made.append(self)
+
+        def add(self, batch):
+            without.append(bool(self.settled))
+            super().add(batch)
+
+    monkeypatch.setattr(line_dedup, "LineRuns", Watched)
+    rows = [(i, f"Common line\nown line {i}\n" + ("seldom" if i % 30 == 0 else "often" if i % 20 == 0 else f"other {i}")) for i in range(320)]
+    want = sorted((i, *k) for (i, _), k in zip(rows, kept_lines([t for _, t in rows]), strict=True))
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert listed(out.withColumn("kept", F.sha2(F.col("text").cast("binary"), 256)), "doc_id", "n_lines", "n_dropped", "kept") == sorted(want, key=str)
+    settled = {r.key for r in made[0]._read(made[0].settled).collect()}
+    assert line_dedup.line_key(b"Common line") in settled
+    assert sum(without) >= 8 and len(made[0].levels) > 2
+
+
 def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.dedup_lines(fx.table(spark).where("false")).count() == 0
 

@@ -29,6 +29,8 @@ from .words import LOWER_BYTES, texts
 BLANK = b" \t\n\x0b\x0c\r"
 #: Settled keys up to this number (8 MB) are sent to every executor; above it, lines and keys are joined.
 BROADCAST_KEYS = 1_000_000
+#: Batches of a table: with runs merged by four, level 0 is compacted four times and level 1 once.
+BATCHES = 16
 
 
 def line_key(line: bytes) -> int | None:
@@ -100,7 +102,7 @@ def keys_of(docs: DataFrame, batches: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").transform(map_arrow, keys, "key long, batch int")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 3, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = BATCHES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """doc_id, text (without the lines found in at least min_docs documents), n_lines, n_dropped."""
     spark = docs.sparkSession
     path = scratch_path(spark, "line-keys")
