@@ -67,6 +67,19 @@ def test_markov_model_finds_random_strings_only(spark):
     assert sum(r.label == r.p for r in rows) > 0.97 * len(rows)
 
 
+def test_ordinary_words_come_from_all_documents(spark):
+    texts = [f"Über {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} schön kX9vQ2mZ ID" for i in range(2_500)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "Nur hier"), (7, None)], "doc_id long, text string")
+    want = Counter(w for t in [*texts, "Nur hier"] for w in t.split() if w not in ("kX9vQ2mZ", "ID"))
+    assert Counter(r.value for r in secrets.corpus_words(docs).collect()) == want
+    samples, words = secrets.default_samples(spark, 400), secrets.corpus_words(docs)
+    plain, once = secrets.train(samples), secrets.train(samples, words)
+    z, q = secrets.ALPHABET.index("c") + 1, secrets.ALPHABET.index("h") + 1
+    assert once[z, q] < plain[z, q]
+    many = words.crossJoin(spark.range(60))
+    assert abs(secrets.train(samples, many) - secrets.train(samples, many.unionByName(many))).max() < 1e-9
+
+
 def test_secrets_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.scan_secrets(empty).count() == 0

@@ -3,8 +3,9 @@
 Base finds are the leftmost matches of three patterns. The method adds runs of CANDIDATE characters
 whose log-likelihood ratio under two first-order character models, random strings against ordinary
 identifiers, is at least MIN_TOTAL in all and MIN_EACH a step, and that no base find overlaps. Both
-models are trained from labelled samples by counting character pairs in a DataFrame; the table of the
-67 x 67 log ratios, whose size does not depend on the data, goes into the plan as a literal.
+models are trained from labelled samples by counting character pairs in a DataFrame, the ordinary one
+also from the words of all documents; the table of the 67 x 67 log ratios, whose size does not depend on
+the data, goes into the plan as a literal.
 
 Offsets are code points, ends exclusive. Null text is empty. All is built of Spark's own expressions.
 """
@@ -72,28 +73,38 @@ def _chars(value: Column, i: Column) -> Column:
     return F.substring(value, i, F.lit(1))
 
 
-#: About so many documents give ordinary words for training, chosen by a hash of their ids.
-TRAINING_DOCS = 1_000
+#: Fixed value: the corpus weighs at most so many character pairs in the negative model. All its pairs are counted;
+#: the weight keeps separators and digits of identifiers, and the smoothing, as likely however much text there is.
+CORPUS_WEIGHT = 500_000
+#: Ordinary words: letters in any script, the first of either case.
+CORPUS_WORD = r"(?<![\p{L}\p{N}])\p{Lu}?\p{Ll}+(?![\p{L}\p{N}])"
 
 
-def corpus_words(docs: DataFrame, most: int = TRAINING_DOCS) -> DataFrame:
-    """Negative samples in the corpus's own languages: words of letters from about `most` documents. They are
-    only counted, pair by pair, on the executors; the choice depends on ids and the number of rows alone."""
-    share = min(1.0, most / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b[A-Z]?[a-z]{7,}\b"), F.lit(0))
-    return some.select(F.explode(words).alias("value"), F.lit(0).alias("label"))
-
-
-def train(samples: DataFrame) -> np.ndarray:
-    """Log ratios of the next character's probability, random over ordinary, by state and next state
-    (add-one smoothing). Needs at least one sample; unseen pairs keep the smoothed ratio."""
+def pair_counts(samples: DataFrame) -> np.ndarray:
+    """How often each state follows each, by label. Pairs are counted on the executors; at most a table of all
+    states comes to the driver."""
     steps = F.explode(F.sequence(F.lit(1), F.length("value") - 1)).alias("i")
     pairs = samples.where(F.length("value") > 1).select("value", "label", steps)
     a, b = _state(_chars(F.col("value"), F.col("i"))), _state(_chars(F.col("value"), F.col("i") + 1))
-    counts = np.ones((2, STATES, STATES)) * 0.5
+    counts = np.zeros((2, STATES, STATES))
     for label, x, y, n in pairs.groupBy("label", a.alias("a"), b.alias("b")).agg(F.count("*").alias("n")).collect():
         counts[label, x, y] += n
+    return counts
+
+
+def corpus_words(docs: DataFrame) -> DataFrame:
+    """Negative samples in the corpus's own languages: the words of all documents."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(CORPUS_WORD), F.lit(0))
+    return docs.select(F.explode(words).alias("value"), F.lit(0).alias("label"))
+
+
+def train(samples: DataFrame, corpus: DataFrame | None = None) -> np.ndarray:
+    """Log ratios of the next character's probability, random over ordinary, by state and next state
+    (add-one smoothing). Needs at least one sample; unseen pairs keep the smoothed ratio."""
+    counts = 0.5 + pair_counts(samples)
+    if corpus is not None:
+        found = pair_counts(corpus)
+        counts += found * min(1.0, CORPUS_WEIGHT / max(1.0, found.sum()))
     p = counts / counts.sum(axis=2, keepdims=True)
     return np.log(p[1] / p[0])
 
@@ -124,9 +135,7 @@ def score(value: Column, table: np.ndarray) -> Column:
 
 def find_secrets(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """doc_id, text, base and spans (arrays of begin, rank of the kind, end, sorted)."""
-    if samples is None:
-        samples = default_samples(docs.sparkSession).unionByName(corpus_words(docs))
-    table = train(samples)
+    table = train(samples) if samples is not None else train(default_samples(docs.sparkSession), corpus_words(docs))
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
     assigned = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= MIN_ASSIGNED)
