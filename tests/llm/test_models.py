@@ -225,6 +225,17 @@ def test_links_between_whole_and_cut_sketches(spark, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("options", [{}, {"short": 1, "chunk": 300}])
+def test_ids_with_several_texts_are_reached_through_each(spark, options):
+    rows, want = [], {}
+    for base in range(0, 2000, 100):
+        texts = [" ".join(f"t{base}x{k}x{i}" for i in range(90)) for k in range(3)]
+        rows += [(base + 50, t) for t in texts] + [(base + 10 * k + 12, f"{t} end") for k, t in enumerate(texts)]
+        want |= {base + i: base + 12 for i in (12, 22, 32, 50)}
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
+
+
 def test_long_chains_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "a long, b long")
     got = {r.doc: r.component for r in near_dedup.components(links).collect()}

@@ -61,6 +61,10 @@ def _set_of(text: bytes, cache: WordHashes, width: int) -> np.ndarray:
     return shingle_set(cache.of(text.translate(LOWER_BYTES).split()), width)
 
 
+def _digest(items: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None
+
+
 def sketch(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     """doc_id, n (set size), digest (of the whole set; null if empty), sketch (the k smallest, ascending)."""
 
@@ -68,7 +72,7 @@ def sketch(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
         cache = WordHashes()
         for batch in it:
             sets = [_set_of(t, cache, width) for t in texts(batch, "text")]
-            digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            digest = [_digest(s) for s in sets]
             low = [s[:k].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "sketch"])
 
@@ -76,33 +80,34 @@ def sketch(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """doc, items (packed sorted hashes) of the documents named in ids."""
+    """key (digest of the set), items (packed sorted hashes) of all texts of the documents named in ids."""
     few = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(ids) if few else ids, "doc", "left_semi")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in it:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(_set_of(t, cache, width)) for t in texts(batch, "text")], pa.binary())], ["doc", "items"])
+            sets = [_set_of(t, cache, width) for t in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()), pa.array(map(_pack, sets), pa.binary())], ["key", "items"])
 
-    return wanted.transform(map_arrow, run, "doc long, items binary")
+    return wanted.transform(map_arrow, run, "key binary, items binary").where("key is not null")
 
 
 def inverted_lists(classes: DataFrame, k: int = K, shared: int = SHARED) -> DataFrame:
-    """value, doc, n, df, home: the retained values through which a class is looked for, where others have them
+    """value, key, n, df, home: the retained values through which a class is looked for, where others have them
     too, each with the class's most common one."""
-    each = classes.select("doc", "n", F.explode("sketch").alias("value"))
+    each = classes.select("key", "n", F.explode("sketch").alias("value"))
     common = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    seen = each.join(common, "value").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("seen"))
+    seen = each.join(common, "value").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("seen"))
     size = F.least("n", F.lit(k))
     # Of a set kept whole, a partner kept whole holds so many, and one that is cut down to k at least so many.
     whole, cut = F.ceil(F.col("n") * PERCENT / 100.0), F.ceil(F.lit(k) - F.col("n") * (100 - PERCENT) / PERCENT)
     need = F.when(F.col("n") > k, F.lit(shared)).otherwise(F.least(whole, cut))
     rare = size - F.size("seen")  # those that no other class retains come first
     first = F.greatest(F.lit(0), size - need + 1 - rare).cast("int")
-    out = seen.select("doc", "n", F.slice("seen", F.lit(1), first).alias("kept")).where(F.size("kept") > 0)
-    out = out.select("doc", "n", F.element_at("kept", -1).alias("home"), F.explode("kept").alias("s"))
-    return out.select("s.value", "doc", "n", "s.df", "home")
+    out = seen.select("key", "n", F.slice("seen", F.lit(1), first).alias("kept")).where(F.size("kept") > 0)
+    out = out.select("key", "n", F.element_at("kept", -1).alias("home"), F.explode("kept").alias("s"))
+    return out.select("s.value", "key", "n", "s.df", "home")
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -114,26 +119,26 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def short_links(lists: DataFrame, classes: DataFrame, sets: DataFrame, k: int = K, shared: int = SHARED, short: int = SHORT) -> DataFrame:
     """a, b: links between classes that meet in a short list."""
-    brief = lists.where(F.col("df") <= short).select("value", "doc")
-    other = brief.select("value", F.col("doc").alias("b"))
-    pairs = brief.withColumnRenamed("doc", "a").join(other, "value").where("a < b").select("a", "b").distinct()
-    low = classes.select("doc", "n", "sketch")
-    pairs = pairs.join(low.withColumnsRenamed({"doc": "a", "n": "n_a", "sketch": "s_a"}), "a").where("n_a > 0")
-    pairs = pairs.join(low.withColumnsRenamed({"doc": "b", "n": "n_b", "sketch": "s_b"}), "b")
+    brief = lists.where(F.col("df") <= short).select("value", "key")
+    other = brief.select("value", F.col("key").alias("b"))
+    pairs = brief.withColumnRenamed("key", "a").join(other, "value").where("a < b").select("a", "b").distinct()
+    low = classes.select("key", "n", "sketch")
+    pairs = pairs.join(low.withColumnsRenamed({"key": "a", "n": "n_a", "sketch": "s_a"}), "a").where("n_a > 0")
+    pairs = pairs.join(low.withColumnsRenamed({"key": "b", "n": "n_b", "sketch": "s_b"}), "b")
     pairs = pairs.where((100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")))
     # The common values among the k smallest of the union.
     unsigned = lambda x: x.bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  the order of unsigned hashes
     union = F.slice(F.transform(F.array_sort(F.transform(F.array_union("s_a", "s_b"), unsigned)), unsigned), 1, k)
     overlap = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), union))
     pairs = pairs.where((F.least("n_a", "n_b") <= k) | (overlap >= shared)).select("a", "b")
-    joined = pairs.join(sets.withColumnsRenamed({"doc": "a", "items": "i_a"}), "a").join(sets.withColumnsRenamed({"doc": "b", "items": "i_b"}), "b")
+    joined = pairs.join(sets.withColumnsRenamed({"key": "a", "items": "i_a"}), "a").join(sets.withColumnsRenamed({"key": "b", "items": "i_b"}), "b")
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             ok = [_linked(_unpack(x), _unpack(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.select("a", "b", "i_a", "i_b").transform(map_arrow, verify, "a long, b long")
+    return joined.select("a", "b", "i_a", "i_b").transform(map_arrow, verify, "a binary, b binary")
 
 
 def long_links(lists: DataFrame, sets: DataFrame, short: int = SHORT, chunk: int = CHUNK_SHINGLES) -> DataFrame:
@@ -141,22 +146,22 @@ def long_links(lists: DataFrame, sets: DataFrame, short: int = SHORT, chunk: int
     lists = lists.where(F.col("df") > short)
     # Lists that share classes come to share a home, so that a group of near copies stays together.
     top = lists.groupBy("value").agg(F.max("home").alias("top"))
-    placed = lists.select("value", "doc", "n").join(top, "value").groupBy("doc", "n").agg(F.max("top")["value"].alias("home"))
+    placed = lists.select("value", "key", "n").join(top, "value").groupBy("key", "n").agg(F.max("top")["value"].alias("home"))
     # A home's classes are dealt to as many chunks as their shingles fill.
     fill = placed.groupBy("home").agg(F.sum("n").alias("total")).select(F.col("home").alias("h"), F.ceil(F.col("total") / chunk).cast("int").alias("parts"))
-    placed = placed.join(fill, F.col("home") == F.col("h")).select("doc", F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("chunk"))
+    placed = placed.join(fill, F.col("home") == F.col("h")).select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("chunk"))
     placed = materialize(placed, "chunks")
-    met = lists.select("value", "doc").join(placed, "doc").select("value", "chunk").distinct()
+    met = lists.select("value", "key").join(placed, "key").select("value", "chunk").distinct()
     tasks = met.withColumnRenamed("chunk", "c1").join(met.withColumnRenamed("chunk", "c2"), "value").where("c1 <= c2").select("c1", "c2").distinct()
     sides = tasks.select("c1", "c2", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("chunk"))
-    rows = sides.join(placed, "chunk").join(sets, "doc").select("c1", "c2", "chunk", "doc", "items")
-    return rows.groupBy("c1", "c2").applyInPandas(_compare_chunks, "a long, b long")
+    rows = sides.join(placed, "chunk").join(sets, "key").select("c1", "c2", "chunk", "key", "items")
+    return rows.groupBy("c1", "c2").applyInPandas(_compare_chunks, "a binary, b binary")
 
 
 def _compare_chunks(rows: pd.DataFrame) -> pd.DataFrame:
     """Links across two chunks (or within one) by counting common hashes through one chunk's postings."""
-    rows = rows.sort_values("doc", ignore_index=True)
-    docs, chunk, of = rows["doc"].to_numpy(), rows["chunk"].to_numpy(), [_unpack(x) for x in rows["items"]]
+    rows = rows.sort_values("key", ignore_index=True)
+    keys, chunk, of = rows["key"].to_list(), rows["chunk"].to_numpy(), [_unpack(x) for x in rows["items"]]
     first, second = np.flatnonzero(chunk == rows["c1"].iloc[0]), np.flatnonzero(chunk == rows["c2"].iloc[0])
     sizes, parent = np.array([len(x) for x in of]), np.arange(len(of))
     hashes, owner = np.concatenate([of[i] for i in first] or [np.zeros(0, "<u8")]), np.repeat(first, sizes[first])
@@ -178,8 +183,8 @@ def _compare_chunks(rows: pd.DataFrame) -> pd.DataFrame:
             a, b = find(int(i)), find(int(j))
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                links.append((docs[i], docs[j]))
-    return pd.DataFrame([(min(x), max(x)) for x in links], columns=["a", "b"], dtype=np.int64)
+                links.append((keys[i], keys[j]))
+    return pd.DataFrame([(min(x), max(x)) for x in links], columns=["a", "b"], dtype=object)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,15 +207,21 @@ def near_duplicates(docs: DataFrame, k: int = K, shared: int = SHARED, short: in
     """doc_id, n_shingles, component_id, kept: one row a row of docs."""
     rows = materialize(sketch(docs, k, width), "sketches")
     whole = rows.where("doc_id is not null and digest is not null")
-    classes = materialize(whole.groupBy("digest", "n").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")), "classes")
+    classes = materialize(whole.groupBy("digest", "n").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")).withColumnRenamed("digest", "key"), "classes")
     lists = materialize(inverted_lists(classes, k, shared), "lists")
-    sets = materialize(full_sets(docs, lists.select("doc").distinct(), width), "sets").dropDuplicates(["doc"])
+    ids = classes.join(lists.select("key").distinct(), "key", "left_semi").select("doc").distinct()
+    sets = materialize(full_sets(docs, ids, width), "sets").dropDuplicates(["key"])
     links = short_links(lists, classes, sets, k, shared, short).unionByName(long_links(lists, sets, short, chunk))
+    # From here on a class goes by its smallest id.
+    of = classes.select("key", "doc")
+    links = links.join(of.withColumnsRenamed({"key": "a", "doc": "d_a"}), "a").join(of.withColumnsRenamed({"key": "b", "doc": "d_b"}), "b")
+    links = links.where("d_a <> d_b").select(F.col("d_a").alias("a"), F.col("d_b").alias("b"))
     # A class links the ids of its rows: an id with several texts joins their classes.
-    same = whole.join(classes.select("digest", "n", "doc"), ["digest", "n"]).select("doc_id", "doc")
-    extra = same.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("a", "b")
+    same = whole.join(of.withColumnRenamed("key", "digest"), "digest").select("doc_id", "doc")
+    several = same.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("doc_id", "a")
+    extra = same.join(several, "doc_id").where("a < doc").select("a", F.col("doc").alias("b"))
     found = components(links.unionByName(extra))
-    reached = classes.join(found, "doc", "left").select(F.col("digest").alias("c_digest"), F.col("n").alias("c_n"), F.coalesce("component", "doc").alias("component"))
+    reached = classes.join(found, "doc", "left").select(F.col("key").alias("c_digest"), F.col("n").alias("c_n"), F.coalesce("component", "doc").alias("component"))
     out = rows.join(reached, (rows["digest"] == reached["c_digest"]) & (rows["n"] == reached["c_n"]), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
