@@ -236,6 +236,43 @@ def test_ids_with_several_texts_are_reached_through_each(spark, options):
     assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_homes_of_many_chunks(spark, rounds):
+    """Groups around several templates that share a passage, in chunks of few classes: pivots settle some of them."""
+    rng, rows = np.random.default_rng(rounds), []
+    shared = [f"s{i}" for i in range(60)]
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(90)]
+        for _ in range(40):
+            words = list(base)
+            for at in rng.integers(0, 90, rng.integers(0, 4)):
+                words[at] = f"x{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(shared + words)))
+    want = reachable([type("R", (), {"doc_id": i, "text": t}) for i, t in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs, short=3, chunk=1500, rounds=rounds).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 3 <= len({c for _, c in want.values()}) < 30
+
+
+@pytest.mark.parametrize("lost", ["subset", "edited"])
+def test_every_size_meets_its_nearest_partners(spark, lost):
+    """Sets of 1 to 200 shingles and their largest linked superset, or a copy with edits spread over it."""
+    rng, rows, want = np.random.default_rng(4), [], {}
+    for n in range(1, 201):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, n + 4)]
+        if lost == "subset":
+            other = words + [f"v{x}" for x in rng.integers(0, 1 << 40, n // 3)]
+        else:
+            other = list(words)
+            for j in range(max(0, n // 40)):
+                other[40 * j + 20] = "edit"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    want = reachable([type("R", (), {"doc_id": i, "text": t}) for i, t in rows])
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_long_chains_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "a long, b long")
     got = {r.doc: r.component for r in near_dedup.components(links).collect()}

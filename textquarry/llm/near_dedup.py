@@ -13,26 +13,35 @@ equal sets fall into one class at once, whatever its size; only one of each clas
    values of a sketch enter lists, rarest first by the number of classes retaining them. Passages that
    many documents share thus make no long lists.
 3. Short lists (up to SHORT classes) give pairs. Longer ones, which come from large groups of near
-   copies, are cut into chunks of bounded size; chunks that meet in any long list are compared chunk by
-   chunk, which emits a spanning forest of the links, never all pairs.
+   copies, are gathered in homes. Where a home fills more than one chunk of bounded size, all its classes
+   are first held against a few pivots, one a round; what has a link to a pivot's component is settled.
+   Then chunks that meet in any long list are compared chunk by chunk, unless both hold only settled
+   classes of one home, which are connected already; this emits a spanning forest, never all pairs.
 4. Union sketch: a pair stays if the K smallest of its two sketches' union hold at least SHARED common
    values. Then the full sets decide: 100 * intersection >= 75 * union.
 5. Components by min-label propagation with pointer jumping over the links, in tables of the shared
    folder. Nothing but counts comes to the driver.
 
-Null or empty text has no shingles and no link. Rows with null doc_id are never linked and are kept, with
-null component. Rows of equal id and different text count as one document for reaching others.
+Hot values and homes (a third of all classes may share one) are dealt to up to SALTS tasks by a hash of
+the class, and only the salts a value really has are joined.
+
+Null or empty text has no shingles and no link, and goes round the joins. Rows with null doc_id are never
+linked and are kept, with null component. Repeated rows share a class and are all returned. Rows of equal id
+and different text count as one document for reaching others. Long texts count whole; a class larger than a
+chunk is a chunk of its own. An empty table gives no rows. Columns other than doc_id and text are not read,
+so extra ones with any names do no harm.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize
@@ -47,6 +56,10 @@ SHORT = 24
 CHUNK_SHINGLES = 1_000_000
 #: Candidate ids up to this number (8 MB) are broadcast to select texts; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Tasks over which one value or home is dealt; bits of a long, so at most 64.
+SALTS = 64
+#: Pivots held against the classes of a home of several chunks.
+PIVOT_ROUNDS = 3
 
 
 def _pack(v: np.ndarray) -> bytes:
@@ -93,12 +106,25 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH, broadcast_ids
     return wanted.transform(map_arrow, run, "key binary, items binary").where("key is not null")
 
 
+def _salt(key: str = "key") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SALTS))
+
+
+def _with_salts(rows: DataFrame, by: str, *figures: Column, keep: str = "true") -> DataFrame:
+    """Figures of each value of `by`, once for each salt its rows have: joined on both, a hot value's rows meet in
+    many tasks. The salts travel as the bits of one long, so the aggregate combines before the shuffle."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _salt().cast("int"))
+    found = rows.groupBy(by).agg(*figures, F.bit_or(bit).alias("bits"))
+    has = lambda i: F.call_function("shiftright", F.col("bits"), i).bitwiseAND(F.lit(1)) == 1
+    return found.where(keep).withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), has))).drop("bits")
+
+
 def inverted_lists(classes: DataFrame, k: int = K, shared: int = SHARED) -> DataFrame:
     """value, key, n, df, home: the retained values through which a class is looked for, where others have them
     too, each with the class's most common one."""
     each = classes.select("key", "n", F.explode("sketch").alias("value"))
-    common = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    seen = each.join(common, "value").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("seen"))
+    common = _with_salts(each, "value", F.count("*").alias("df"), keep="df > 1")
+    seen = each.withColumn("salt", _salt()).join(common, ["value", "salt"]).groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("seen"))
     size = F.least("n", F.lit(k))
     # Of a set kept whole, a partner kept whole holds so many, and one that is cut down to k at least so many.
     whole, cut = F.ceil(F.col("n") * PERCENT / 100.0), F.ceil(F.lit(k) - F.col("n") * (100 - PERCENT) / PERCENT)
@@ -141,21 +167,67 @@ def short_links(lists: DataFrame, classes: DataFrame, sets: DataFrame, k: int =
     return joined.select("a", "b", "i_a", "i_b").transform(map_arrow, verify, "a binary, b binary")
 
 
-def long_links(lists: DataFrame, sets: DataFrame, short: int = SHORT, chunk: int = CHUNK_SHINGLES) -> DataFrame:
+def _chunked(members: DataFrame, chunk: int, apart: str = "settled") -> DataFrame:
+    """members (key, n, home, settled) with chunk and parts: the classes of a home, those settled apart, are dealt
+    by hash to as many chunks as their shingles fill."""
+    members = members.withColumn("side", F.xxhash64("home", apart))
+    fill = _with_salts(members, "side", F.sum("n").alias("total")).select("side", "salt", F.ceil(F.col("total") / chunk).cast("int").alias("parts"))
+    dealt = members.withColumn("salt", _salt()).join(fill, ["side", "salt"])
+    return dealt.select(*[c for c in members.columns if c != "side"], "parts", F.xxhash64("side", F.pmod(F.xxhash64(F.lit(1), "key"), F.col("parts"))).alias("chunk"))
+
+
+def _pivot_links(members: DataFrame, sets: DataFrame, chunk: int, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
+    """members with settled where a class is known to be connected with its home's first pivot, and the links found
+    on the way. Only homes of several chunks take part. A round's pivot is the smallest class neither settled nor
+    tried before."""
+    links: list[DataFrame] = []
+    members = members.withColumn("tried", F.lit(False))
+    for turn in range(rounds):
+        placed = materialize(_chunked(members.withColumn("whole", F.lit(True)), chunk, "whole").where("parts > 1"), "placed")
+        pivots = placed.where("not settled and not tried").groupBy("home").agg(F.min("key").alias("key"))
+        if pivots.isEmpty():
+            break
+        asked = placed.select("chunk", "home").distinct().join(pivots, "home").select("chunk", "key", F.lit(True).alias("is_pivot"))
+        rows = placed.select("chunk", "key", F.lit(False).alias("is_pivot")).unionByName(asked).join(sets, "key")
+        found = materialize(rows.groupBy("chunk").applyInPandas(_against_pivot, "a binary, b binary"), "pivot-links")
+        links.append(found)
+        chosen = pivots.select("key", F.lit(True).alias("chosen"))
+        near = found.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("met", F.lit(True))
+        state = members.join(near, "key", "left").join(chosen, "key", "left")
+        state = state.withColumn("met", F.col("met").isNotNull() | F.col("chosen").isNotNull()).withColumn("tried", F.col("tried") | F.col("chosen").isNotNull())
+        # A pivot's neighbours are settled if it is the first, or if one of them is settled already.
+        joins = state.where("met").groupBy("home").agg(F.max("settled").alias("old")).where(F.col("old") | (turn == 0)).select("home", F.lit(True).alias("joins"))
+        state = state.join(joins, "home", "left")
+        settled = F.col("settled") | (F.col("met") & F.col("joins").isNotNull())
+        members = materialize(state.select("key", "n", "home", settled.alias("settled"), "tried"), "members")
+    return members, links
+
+
+def _against_pivot(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of a chunk's classes with the pivot."""
+    pivots = rows[rows["is_pivot"]].drop_duplicates("key")
+    out = []
+    for key, packed in zip(pivots["key"], pivots["items"], strict=True):
+        mine = _unpack(packed)
+        out += [(min(key, k), max(key, k)) for k, x in zip(rows["key"], rows["items"], strict=True) if k != key and _linked(mine, _unpack(x))]
+    return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype=object)
+
+
+def long_links(lists: DataFrame, sets: DataFrame, short: int = SHORT, chunk: int = CHUNK_SHINGLES, rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """a, b: a spanning forest of the links between classes that meet in a long list."""
     lists = lists.where(F.col("df") > short)
     # Lists that share classes come to share a home, so that a group of near copies stays together.
-    top = lists.groupBy("value").agg(F.max("home").alias("top"))
-    placed = lists.select("value", "key", "n").join(top, "value").groupBy("key", "n").agg(F.max("top")["value"].alias("home"))
-    # A home's classes are dealt to as many chunks as their shingles fill.
-    fill = placed.groupBy("home").agg(F.sum("n").alias("total")).select(F.col("home").alias("h"), F.ceil(F.col("total") / chunk).cast("int").alias("parts"))
-    placed = placed.join(fill, F.col("home") == F.col("h")).select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("chunk"))
-    placed = materialize(placed, "chunks")
-    met = lists.select("value", "key").join(placed, "key").select("value", "chunk").distinct()
-    tasks = met.withColumnRenamed("chunk", "c1").join(met.withColumnRenamed("chunk", "c2"), "value").where("c1 <= c2").select("c1", "c2").distinct()
+    top = _with_salts(lists, "value", F.max("home").alias("top"))
+    members = lists.select("value", "key", "n", _salt().alias("salt")).join(top, ["value", "salt"]).groupBy("key", "n").agg(F.max("top")["value"].alias("home"))
+    members = materialize(members.withColumn("settled", F.lit(False)), "members")
+    members, links = _pivot_links(members, sets, chunk, rounds)
+    placed = materialize(_chunked(members, chunk), "chunks")
+    met = lists.select("value", "key").join(placed.select("key", "chunk", F.when(F.col("settled"), F.col("home")).alias("done")), "key").select("value", "chunk", "done").distinct()
+    other = met.withColumnsRenamed({"chunk": "c2", "done": "d2"})
+    tasks = met.withColumnRenamed("chunk", "c1").join(other, "value").where("c1 <= c2 and not coalesce(done = d2, false)").select("c1", "c2").distinct()
     sides = tasks.select("c1", "c2", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("chunk"))
-    rows = sides.join(placed, "chunk").join(sets, "key").select("c1", "c2", "chunk", "key", "items")
-    return rows.groupBy("c1", "c2").applyInPandas(_compare_chunks, "a binary, b binary")
+    rows = sides.join(placed.select("key", "chunk"), "chunk").join(sets, "key").select("c1", "c2", "chunk", "key", "items")
+    return reduce(DataFrame.unionByName, [*links, rows.groupBy("c1", "c2").applyInPandas(_compare_chunks, "a binary, b binary")])
 
 
 def _compare_chunks(rows: pd.DataFrame) -> pd.DataFrame:
@@ -203,7 +275,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def near_duplicates(docs: DataFrame, k: int = K, shared: int = SHARED, short: int = SHORT, chunk: int = CHUNK_SHINGLES, width: int = WIDTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = K, shared: int = SHARED, short: int = SHORT, chunk: int = CHUNK_SHINGLES, width: int = WIDTH, rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a row of docs."""
     rows = materialize(sketch(docs, k, width), "sketches")
     whole = rows.where("doc_id is not null and digest is not null")
@@ -211,24 +283,26 @@ def near_duplicates(docs: DataFrame, k: int = K, shared: int = SHARED, short: in
     lists = materialize(inverted_lists(classes, k, shared), "lists")
     ids = classes.join(lists.select("key").distinct(), "key", "left_semi").select("doc").distinct()
     sets = materialize(full_sets(docs, ids, width), "sets").dropDuplicates(["key"])
-    links = short_links(lists, classes, sets, k, shared, short).unionByName(long_links(lists, sets, short, chunk))
+    links = short_links(lists, classes, sets, k, shared, short).unionByName(long_links(lists, sets, short, chunk, rounds))
     # From here on a class goes by its smallest id.
     of = classes.select("key", "doc")
     links = links.join(of.withColumnsRenamed({"key": "a", "doc": "d_a"}), "a").join(of.withColumnsRenamed({"key": "b", "doc": "d_b"}), "b")
     links = links.where("d_a <> d_b").select(F.col("d_a").alias("a"), F.col("d_b").alias("b"))
-    # A class links the ids of its rows: an id with several texts joins their classes.
-    same = whole.join(of.withColumnRenamed("key", "digest"), "digest").select("doc_id", "doc")
-    several = same.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("doc_id", "a")
-    extra = same.join(several, "doc_id").where("a < doc").select("a", F.col("doc").alias("b"))
+    # An id with several texts joins their classes.
+    several = whole.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("doc_id")
+    same = whole.join(several, "doc_id", "left_semi").select("doc_id", F.col("digest").alias("key")).distinct().join(of, "key").select("doc_id", "doc")
+    extra = same.join(same.groupBy("doc_id").agg(F.min("doc").alias("a")), "doc_id").where("a < doc").select("a", F.col("doc").alias("b"))
     found = components(links.unionByName(extra))
-    reached = classes.join(found, "doc", "left").select(F.col("key").alias("c_digest"), F.col("n").alias("c_n"), F.coalesce("component", "doc").alias("component"))
-    out = rows.join(reached, (rows["digest"] == reached["c_digest"]) & (rows["n"] == reached["c_n"]), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    reached = classes.join(found, "doc", "left").select(F.col("key").alias("digest"), F.coalesce("component", "doc").alias("component"))
+    out = whole.join(reached, "digest").select("doc_id", "n", "component")
+    alone = rows.where("doc_id is null or digest is null").select("doc_id", "n", F.col("doc_id").alias("component"))
+    out = out.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is its component's smallest."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """The rows of docs, with all their columns, whose id is its component's smallest. Up to BROADCAST_IDS ids that
+    go are broadcast, so that no text moves; beyond it the anti-join shuffles. Rows without an id stay."""
+    gone = materialize(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone_id"], "left_anti")
