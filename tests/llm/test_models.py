@@ -117,19 +117,75 @@ def test_targets_with_caps(spark):
     assert got["b"] / got["c"] == pytest.approx(2) and sum(got.values()) == pytest.approx(2001)
 
 
-def test_newton_reaches_the_rate(spark):
-    df = spark.createDataFrame([(1000.0, 3000.0), (1000.0, 0.5), (10.0, 10.0), (0.0, 0.0), (5.0, 0.0)], "s double, t double")
-    got = [r[0] for r in df.coalesce(1).select(mixing.newton_rate(F.col("s"), F.col("t"))).collect()]
-    assert got == pytest.approx([3.0, 0.0005, 1.0, 0.0, 0.0], rel=1e-9)
+def dense_balance(rows, goal, slack):
+    """Rates by nested bisection over single documents: another solver, no cells."""
+    names = sorted({r.source for r in rows if 0 < goal[r.source][0] and not goal[r.source][1]}, key=str)
+    size = np.array([float(r.size) for r in rows])
+    band = np.array([r.size.bit_length() for r in rows]) - sum(r.size * r.size.bit_length() for r in rows) / size.sum()
+    of = np.array([names.index(r.source) if r.source in names else -1 for r in rows])
+    full = np.array([goal[r.source][1] for r in rows])
+    want, n, theta = np.array([goal[x][0] for x in names]), size.sum(), 0.0
+    fixed = 3 * (size * band)[full].sum()
+
+    def fill(theta):
+        lo, hi = np.full(len(names), -600.0), np.full(len(names), 600.0)
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            got = np.bincount(of[of >= 0], (size * np.minimum(3, np.exp(np.clip(mid[of] + theta * band, -700, 50))))[of >= 0], len(names))
+            hi, lo = np.where(got > want, mid, hi), np.where(got > want, lo, mid)
+        return (lo + hi) / 2
+
+    lo, hi = -40.0, 40.0
+    for _ in range(100):
+        theta = (lo + hi) / 2
+        lam = fill(theta)
+        w = np.where(of >= 0, np.minimum(3, np.exp(lam[of] + theta * band)), 0)
+        slope = (size * w * band).sum() + fixed + slack * n * theta
+        lo, hi = (lo, theta) if slope > 0 else (theta, hi)
+    return np.where(full, 3.0, np.where(of >= 0, np.minimum(3, np.exp(lam[of] + theta * band)), 0.0)), theta
+
+
+@pytest.mark.parametrize("name", ["sf", "odd", "skewed", "short"])
+def test_newton_equals_a_dense_solver(spark, name):
+    if name in ("sf", "odd"):
+        docs = read(spark, SF, "documents") if name == "sf" else fx.table(spark)
+    else:
+        rng = np.random.default_rng(2)
+        long = lambda s: int(rng.integers(300, 900)) if s == "a" else int(rng.integers(1, 40))
+        sources = [("a", "b", "c", None)[int(x)] for x in rng.choice(4, 300, p=[0.7, 0.2, 0.08, 0.02])]
+        rows = [(i, "w " * (long(s) if name == "skewed" else 1 + i % 3), s) for i, s in enumerate(sources)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rows = [r for r in mixing.mix_sources(docs).collect() if r.size]
+    goal = {r.source: (r.target, r.target >= 3 * r.source_size - 1e-9) for r in rows}
+    want, theta = dense_balance(rows, goal, mixing.SLACK)
+    assert np.array([r.rate for r in rows]) == pytest.approx(want, abs=2e-6)
+    assert any(len({r.rate for r in rows if r.source == x}) > 1 for x in goal) or abs(theta) < 1e-6
+    size, rate = np.array([r.size for r in rows]), np.array([r.rate for r in rows])
+    band = np.array([int(x).bit_length() for x in size])
+    plain = np.array([r.target / r.source_size for r in rows])
+    miss = lambda w: abs((size * w * band).sum() / (size * w).sum() - (size * band).sum() / size.sum())
+    assert miss(rate) <= miss(plain) + 1e-9
+    assert all(r.copies in (np.floor(r.rate), np.ceil(r.rate)) for r in rows)
 
 
 def test_copies(spark):
-    docs = fx.table(spark).dropDuplicates(["doc_id", "text"])
+    docs = fx.table(spark)
     out = mixing.take_copies(docs)
     assert out.columns == docs.columns
-    taken = {r.doc_id: r.copies for r in mixing.mix_sources(docs).where("copies > 0").collect()}
+    taken = defaultdict(int)
+    for r in mixing.mix_sources(docs).where("copies > 0").collect():
+        taken[r.doc_id] += r.copies
     assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == taken
     assert mixing.take_copies(docs.where("false")).count() == 0
+    assert mixing.mix_sources(docs.where("false")).count() == 0
+    assert all(r.taken == 0 for r in mixing.mix_sources(docs.withColumn("text", F.lit(" "))).collect())
+
+
+def test_many_sources_are_joined_by_salts(spark, monkeypatch):
+    docs = read(spark, SF, "documents")
+    want = sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str)
+    monkeypatch.setattr(mixing, "few", lambda df, most: False)
+    assert sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str) == want
 
 
 def whole_ids(text):

@@ -27,11 +27,15 @@ def lower_ascii(c: Column) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one is set only where none is (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where none is set, a local one is made if driver and executors
+    are one process (tests); on a cluster, where executors would write to disks of their own, this raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        kept = spark.sparkContext.getCheckpointDir()
-        root = kept or f"file://{tempfile.mkdtemp(prefix='textquarry-')}"
+        root = spark.sparkContext.getCheckpointDir()
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = f"file://{tempfile.mkdtemp(prefix='textquarry-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -48,6 +52,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int) -> bool:
+    """Whether df has at most so many rows: the check before a broadcast."""
+    return df.limit(most + 1).count() <= most
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes all that materialize() wrote below the shared folder."""
     jvm = spark.sparkContext._jvm

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, scratch_path
+from .common import few, map_arrow, materialize, scratch_path
 from .words import LOWER_BYTES, texts
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -111,7 +111,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = BATCHES, bro
     for b in range(batches):
         runs.add(arrived.where(F.col("batch") == b).select("key"))
     frequent = materialize(runs.frequent(), "frequent-lines")
-    if frequent.limit(broadcast_keys + 1).count() <= broadcast_keys:
+    if few(frequent, broadcast_keys):
         return _drop_by_broadcast(docs, frequent)
     return _drop_by_join(docs, frequent)
 

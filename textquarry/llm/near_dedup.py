@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import few, map_arrow, materialize
 from .words import LOWER_BYTES, WordHashes, shingle_set, texts
 
 WIDTH = 5
@@ -94,8 +94,7 @@ def sketch(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """key (digest of the set), items (packed sorted hashes) of all texts of the documents named in ids."""
-    few = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(ids) if few else ids, "doc", "left_semi")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(ids) if few(ids, broadcast_ids) else ids, "doc", "left_semi")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -304,5 +303,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, whose id is its component's smallest. Up to BROADCAST_IDS ids that
     go are broadcast, so that no text moves; beyond it the anti-join shuffles. Rows without an id stay."""
     gone = materialize(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return docs.join(F.broadcast(gone) if few(gone, BROADCAST_IDS) else gone, docs["doc_id"] == gone["gone_id"], "left_anti")

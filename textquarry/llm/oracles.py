@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
+from .mixing import SLACK as MIX_SLACK
 from .quality_rules import FENCE, GAMMA, MIN_GROUP, SLACK
 
 _ITEM = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -26,14 +27,28 @@ FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 OP7 = rf"""
-WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(doc_id::VARCHAR) AS place FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(doc_id::VARCHAR) AS place FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 s1 AS (SELECT *, [5.0, 2.0, 1.0][(rank % 3 + 1)::INT]::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap FROM s0),
 s2 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM s1 WINDOW b AS (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s3 AS (SELECT *, cap < level * w AS f FROM s2),
-s AS (SELECT source, source_size, CASE WHEN f THEN cap ELSE w * (SELECT (sum(source_size) - coalesce(sum(cap) FILTER (f), 0)) / sum(w) FILTER (NOT f) FROM s3) END AS target FROM s3),
-p AS (SELECT d.*, source_size, target, target / source_size AS rate, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)
-SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN ahead + size / 2 < round((rate - floor(rate)) * source_size, 3) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM p
+s AS (SELECT source, source_size, f, CASE WHEN f THEN cap ELSE w * (SELECT (sum(source_size) - coalesce(sum(cap) FILTER (f), 0)) / sum(w) FILTER (NOT f) FROM s3) END AS target FROM s3),
+cells AS (SELECT source, length(bin(size)) AS band, sum(size)::DOUBLE AS m FROM d WHERE size > 0 GROUP BY ALL),
+mean AS (SELECT coalesce(sum(m), 0) AS n, sum(m * band) / sum(m) AS b FROM cells),
+off AS MATERIALIZED (SELECT c.source, c.m, c.band - b AS z, target, source_size, f FROM cells c JOIN s ON c.source IS NOT DISTINCT FROM s.source, mean),
+fixed AS (SELECT coalesce(sum(3.0 * m * z), 0) AS q FROM off WHERE f),
+steps AS (
+  SELECT 0 AS k, source, ln(target / source_size) AS lam, 0.0::DOUBLE AS theta FROM s WHERE NOT f AND target > 0 AND source_size > 0
+  UNION ALL
+  SELECT k + 1, source, lam + greatest(-1, least(1, CASE WHEN d > 0 THEN -(g + c * step) / d ELSE -1 END)), theta + step FROM
+    (SELECT *, greatest(-1, least(1, -(sum(q) OVER () + (SELECT q FROM fixed) + {MIX_SLACK} * n * theta - sum(CASE WHEN d > 0 THEN c * g / d ELSE 0 END) OVER ()) / (sum(e) OVER () + {MIX_SLACK} * n - sum(CASE WHEN d > 0 THEN c * c / d ELSE 0 END) OVER ()))) AS step FROM
+      (SELECT k, source, lam, theta, n, sum(t) - any_value(target) AS g, sum(h) AS d, sum(h * z) AS c, sum(h * z * z) AS e, sum(t * z) AS q FROM
+        (SELECT k, steps.source, lam, theta, n, target, z, m * least(3.0, exp(lam + theta * z)) AS t, CASE WHEN exp(lam + theta * z) < 3.0 THEN m * exp(lam + theta * z) ELSE 0 END AS h FROM steps JOIN off ON steps.source IS NOT DISTINCT FROM off.source, mean WHERE k < 20)
+      GROUP BY k, source, lam, theta, n))),
+solved AS (SELECT source, lam, theta FROM steps WHERE k = 20),
+r AS (SELECT d.*, source_size, target, CASE WHEN size = 0 THEN 0 WHEN f THEN 3.0 ELSE coalesce(round(least(3.0, exp(lam + theta * (length(bin(size)) - b))), 9), 0) END AS rate FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN solved ON d.source IS NOT DISTINCT FROM solved.source, mean),
+p AS (SELECT *, round(sum(size * (rate - floor(rate))) OVER (PARTITION BY source), 3) AS extra, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substring(place, 1, 12))::BIGINT / 281474976710656 - (rate - floor(rate)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM r)
+SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN rate > floor(rate) AND ahead + size / 2 < extra THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM p
 """
 
 OP8 = rf"""
