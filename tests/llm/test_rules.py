@@ -109,9 +109,9 @@ def decontaminated(text, windows):
 COLUMNS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 3])
+@pytest.mark.parametrize(("broadcast", "options"), [(200_000, {}), (3, {}), (3, {"pass_windows": 40})])
 @pytest.mark.parametrize("name", ["sf", "odd"])
-def test_decontamination(spark, name, broadcast):
+def test_decontamination(spark, name, broadcast, options):
     docs = documents(spark, name)
     items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
     if name == "odd":
@@ -119,20 +119,21 @@ def test_decontamination(spark, name, broadcast):
         items = spark.createDataFrame([(1, texts[5][:80]), (2, texts[5][20:200]), (10, "one two"), (3, None), (4, " . "), (5, "漢字 text"), (6, texts[9]), (7, texts[9])], "item_id long, text string")
     known = windows_of([(r.item_id, r.text) for r in items.collect()])
     want = sorted(((r.doc_id, *decontaminated(r.text, known)) for r in docs.select("doc_id", "text").collect()), key=str)
-    got = decontaminate.find_windows(docs, items, max_broadcast=broadcast)
+    got = decontaminate.find_windows(docs, items, max_broadcast=broadcast, **options)
     got = got.select("doc_id", "n_words", "n_hit", F.size("items").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
     assert listed(got, *COLUMNS) == want
     assert any(r[2] for r in want) or name == "sf"
 
 
-def test_leaks_are_removed(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_leaks_are_removed(spark, most):
     docs = fx.table(spark)
     texts = fx.texts()
     leak, other = "alpha beta gamma delta epsilon zeta eta theta iota", "one two three four five six seven eight"
     planted = [(100, f"Before it, {leak.upper()}. After."), (101, f"{leak} and {other}"), (102, leak), (103, "nothing here"), (103, f"x {leak} y {leak}")]
     docs = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string"), allowMissingColumns=True)
     items = spark.createDataFrame([(1, leak), (2, other)], "item_id long, text string")
-    out = decontaminate.remove_leaks(docs, items)
+    out = decontaminate.remove_leaks(docs, items, broadcast_hits=most)
     assert out.columns == docs.columns and out.count() == docs.count() - 1
     got = {(r.doc_id, r.text) for r in out.collect()}
     assert {t for i, t in got if i and i >= 100} == {"Before it, After.", "", "nothing here", "x y "}
