@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -80,6 +81,36 @@ def test_ordinary_words_come_from_all_documents(spark):
     assert abs(secrets.train(samples, many) - secrets.train(samples, many.unionByName(many))).max() < 1e-9
 
 
+@pytest.mark.parametrize("name", ["sf", "odd", "planted"])
+def test_markov_spans_equal_a_plain_scan(spark, name):
+    docs = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string") if name == "planted" else documents(spark, name)
+    table = secrets.train(secrets.default_samples(spark), secrets.corpus_words(docs)).round(6)
+    state = {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}
+
+    def spans(text):
+        base = [x.split(":") for x in base_spans(text)]
+        found = [(int(a), secrets.KINDS.index(k), int(b)) for k, a, b in base]
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+            ratio = sum(table[state[a], state[b]] for a, b in zip(m[0], m[0][1:], strict=False))
+            if ratio >= max(20.0, 0.6 * len(m[0])) and not any(a < m.end() and m.start() < b for a, _, b in found[: len(base)]):
+                found.append((m.start(), 3, m.end()))
+        return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+    want = Counter((r.doc_id, spans(r.text)) for r in docs.select("doc_id", "text").collect())
+    assert Counter((r.doc_id, r.spans) for r in secrets.scan_secrets(docs).collect()) == want
+
+
+def test_long_runs_and_many_matches_take_linear_time(spark):
+    run = "kX9vQ2mZ7pLw4RtY8uJh3NcB6sDf1GaE" * 32_768
+    many = " token=abcdefgh1" * 20_000
+    docs = spark.createDataFrame([(1, run), (2, many)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs, secrets.default_samples(spark)).collect()}
+    assert got[1].spans == f"markov:0:{len(run)}" and got[2].n_assign == 20_000
+    assert got[2].base_sha256 == sha(",".join(base_spans(many)))
+    assert time.monotonic() - began < 30
+
+
 def test_secrets_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.scan_secrets(empty).count() == 0

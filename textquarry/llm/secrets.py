@@ -7,7 +7,11 @@ models are trained from labelled samples by counting character pairs in a DataFr
 also from the words of all documents; the table of the 67 x 67 log ratios, whose size does not depend on
 the data, goes into the plan as a literal.
 
-Offsets are code points, ends exclusive. Null text is empty. All is built of Spark's own expressions.
+Offsets are code points, ends exclusive. Null and empty texts have no spans, and an empty table gives no rows;
+without any document the models rest on the samples alone. Repeated rows and ids are scanned and returned each.
+Long texts are scanned whole: a run is split into its characters once, and places are sums over blocks of matches,
+so time grows with the length. Finds that start alike are told apart by kind. Columns other than doc_id and
+text are not read, whatever their names. All is built of Spark's own expressions.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 #: The kinds in the order in which equal starts are listed, their patterns (letters of the
 #: assignment's keyword in either case), and how long the group named must be.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -65,12 +71,11 @@ def default_samples(spark: SparkSession, n: int = 4_000) -> DataFrame:
     return ids.select(random.alias("value"), F.lit(1).alias("label")).unionByName(ids.select(ordinary.alias("value"), F.lit(0).alias("label")))
 
 
-def _state(c: Column) -> Column:
-    return F.instr(F.lit(ALPHABET), c)
-
-
-def _chars(value: Column, i: Column) -> Column:
-    return F.substring(value, i, F.lit(1))
+def _steps(value: Column, f) -> Column:
+    """f(state, next state) of all neighbours in a string, whose characters are split once."""
+    states = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    n = F.greatest(F.length(value) - 1, F.lit(0))
+    return F.zip_with(F.slice(states, F.lit(1), n), F.slice(states, F.lit(2), n), f)
 
 
 #: Fixed value: the corpus weighs at most so many character pairs in the negative model. All its pairs are counted;
@@ -81,14 +86,13 @@ CORPUS_WORD = r"(?<![\p{L}\p{N}])\p{Lu}?\p{Ll}+(?![\p{L}\p{N}])"
 
 
 def pair_counts(samples: DataFrame) -> np.ndarray:
-    """How often each state follows each, by label. Pairs are counted on the executors; at most a table of all
-    states comes to the driver."""
-    steps = F.explode(F.sequence(F.lit(1), F.length("value") - 1)).alias("i")
-    pairs = samples.where(F.length("value") > 1).select("value", "label", steps)
-    a, b = _state(_chars(F.col("value"), F.col("i"))), _state(_chars(F.col("value"), F.col("i") + 1))
+    """How often each state follows each, by label. Equal strings are counted first, then pairs; both aggregates
+    combine before they shuffle, and at most a table of all states comes to the driver."""
+    strings = samples.where(F.length("value") > 1).groupBy("value", "label").agg(F.count("*").alias("times"))
+    pairs = strings.select("label", "times", F.explode(_steps(F.col("value"), lambda a, b: a * STATES + b)).alias("pair"))
     counts = np.zeros((2, STATES, STATES))
-    for label, x, y, n in pairs.groupBy("label", a.alias("a"), b.alias("b")).agg(F.count("*").alias("n")).collect():
-        counts[label, x, y] += n
+    for label, pair, n in pairs.groupBy("label", "pair").agg(F.sum("times").alias("n")).collect():
+        counts[label, pair // STATES, pair % STATES] += n
     return counts
 
 
@@ -109,28 +113,52 @@ def train(samples: DataFrame, corpus: DataFrame | None = None) -> np.ndarray:
     return np.log(p[1] / p[0])
 
 
-def _located(text: Column, pattern: str, kind: str, keep: Column | None = None) -> Column:
-    """Structs (begin, rank, end) of the leftmost matches; what stands between them gives the places."""
+#: Matches of one block of the prefix sums.
+BLOCK = 64
+
+
+def _lengths(text: Column, pattern: str, keep: Column | None = None) -> Column:
+    """Structs (step, size, kept) of the leftmost matches: code points from the last match's end to this one's end,
+    and of the match. What stands between the matches gives the steps."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind_struct = "array<struct<begin:int,rank:int,end:int,kept:boolean>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind_struct).alias("out"))
     rows = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), (keep if keep is not None else F.transform(hits, lambda _: F.lit(True))).alias("kept"))
+    found = F.transform(rows, lambda r: F.struct((F.length(r["gap"]) + F.length(r["hit"])).alias("step"), F.length(r["hit"]).alias("size"), r["kept"].alias("kept")))
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<step:int,size:int,kept:boolean>>"))
+
+
+def _sum(rows: Column, of) -> Column:
+    return F.aggregate(rows, F.lit(0), lambda acc, x: acc + of(x))
 
-    def step(acc, r):
-        begin = acc["at"] + F.length(r["gap"])
-        end = begin + F.length(r["hit"])
-        one = F.struct(begin.alias("begin"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), r["kept"].alias("kept"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    found = F.filter(F.aggregate(rows, zero, step, lambda acc: acc["out"]), lambda x: x["kept"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(kind_struct))
+def _with_places(d: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """d, whose column of each kind holds _lengths, with spans in its place: structs (begin, rank, end), kept ones
+    only. Sums go by blocks of matches, and columns a lambda reads are evaluated once."""
+    blocks = lambda k: F.sequence(F.lit(0), F.floor(F.size(k) / BLOCK).cast("int"))
+
+    def sums(k: str) -> Column:
+        return F.transform(blocks(k), lambda b: _sum(F.slice(k, b * BLOCK + 1, F.lit(BLOCK)), lambda x: x["step"]))
+
+    def ahead(k: str) -> Column:
+        return F.transform(blocks(k), lambda b: _sum(F.slice(f"{k}_sums", F.lit(1), b), lambda x: x))
+
+    d = once(d, **{f"{k}_sums": sums(k) for k in kinds})
+    d = once(d, **{f"{k}_ahead": ahead(k) for k in kinds})
+
+    def placed(kind: str) -> Column:
+        def span(x, i):
+            block = F.floor(i / BLOCK).cast("int")
+            end = F.get(f"{kind}_ahead", block) + _sum(F.slice(kind, block * BLOCK + 1, i % BLOCK), lambda y: y["step"]) + x["step"]
+            return F.when(x["kept"], F.struct((end - x["size"]).alias("begin"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end")))
+
+        return F.array_compact(F.transform(kind, span))
+
+    return d.select(*[c for c in d.columns if c not in kinds and not c.endswith(("_sums", "_ahead"))], *[placed(k).alias(k) for k in kinds])
 
 
 def score(value: Column, table: np.ndarray) -> Column:
-    """Log-likelihood ratio of a string, summed over its steps."""
+    """Log-likelihood ratio of a string, summed over its steps; 0 of a string of fewer than two characters."""
     ratios = F.lit(np.round(table, 6).ravel())
-    step = lambda acc, i: acc + F.get(ratios, _state(_chars(value, i)) * STATES + _state(_chars(value, i + 1)))
-    return F.when(F.length(value) > 1, F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), step)).otherwise(0.0)
+    return F.aggregate(_steps(value, lambda a, b: F.get(ratios, a * STATES + b)), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def find_secrets(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
@@ -140,18 +168,11 @@ def find_secrets(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame
     text = F.col("text")
     assigned = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= MIN_ASSIGNED)
     candidates = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-
-    def verdict(v):
-        ratio = score(v, table)
-        return ratio >= F.greatest(F.lit(MIN_TOTAL), MIN_EACH * F.length(v))
-
-    d = d.select(
-        "doc_id",
-        "text",
-        F.array_sort(F.concat(_located(text, ASSIGN, "assign", assigned), _located(text, ACCESS, "access"), _located(text, HEX, "hex"))).alias("base"),
-        _located(text, CANDIDATE, "markov", F.transform(candidates, verdict)).alias("extra"),
-    )
-    fresh = F.filter("extra", lambda x: ~F.exists("base", lambda b: (b["begin"] < x["end"]) & (x["begin"] < b["end"])))
+    verdict = lambda v: score(v, table) >= F.greatest(F.lit(MIN_TOTAL), MIN_EACH * F.length(v))
+    found = (_lengths(text, ASSIGN, assigned), _lengths(text, ACCESS), _lengths(text, HEX), _lengths(text, CANDIDATE, F.transform(candidates, verdict)))
+    d = _with_places(once(d, **dict(zip(KINDS, found, strict=True))))
+    d = once(d, base=F.array_sort(F.concat("assign", "access", "hex")))
+    fresh = F.filter("markov", lambda x: ~F.exists("base", lambda b: (b["begin"] < x["end"]) & (x["begin"] < b["end"])))
     return d.select("doc_id", "text", "base", F.array_sort(F.concat("base", fresh)).alias("spans"))
 
 
