@@ -69,6 +69,54 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r.expected_severity for r in toxic]) > 1 > 0.2 > np.mean([r.expected_severity for r in clean])
 
 
+@pytest.mark.parametrize("name", ["sf", "odd"])
+def test_scores_equal_a_plain_computation(spark, name):
+    docs = read(spark, SF, "documents") if name == "sf" else fx.table(spark)
+    labels = read(spark, SF, "labels") if name == "sf" else spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(25)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    m, cache = quality.train(docs, labels), quality.WordHashes()
+
+    def quality_of(text):
+        at, x = quality.features((text or "").encode(), cache)
+        pairs = sum(float(m.factors[i] @ m.factors[j]) * a * b for p, (i, a) in enumerate(zip(at, x, strict=True)) for j, b in zip(at[:p], x[:p], strict=True))
+        return 1 / (1 + np.exp(-(m.bias + sum(m.weights[i] * a for i, a in zip(at, x, strict=True)) + pairs)))
+
+    o = toxicity.train(docs, labels)
+    index = {int(h): i for i, h in enumerate(o.vocabulary)}
+
+    def toxic_of(text):
+        times = defaultdict(int)
+        for w in fx.item_words(text):
+            times[quality.WordHashes()[w.encode()]] += 1
+        z = sum(o.weights[index[h]] * np.log1p(n) for h, n in times.items() if h in index)
+        return sum(1 - 1 / (1 + np.exp(-np.clip(c - z, -35, 35))) for c in o.cuts)
+
+    rows = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.doc_id is not None and len(r.text or "") < 1500}
+    some = sorted(rows, key=str)[:40]
+    scores, grades = defaultdict(list), defaultdict(list)
+    for r in quality.classify_quality(docs, labels).collect():
+        scores[r.doc_id].append(r.score)
+    for r in toxicity.score_toxicity(docs, labels).collect():
+        grades[r.doc_id].append(r.expected_severity)
+    assert len(some) > 15
+    for doc_id, text in some:
+        assert any(x == pytest.approx(quality_of(text), abs=1e-9) for x in scores[doc_id])
+        assert any(x == pytest.approx(toxic_of(text), abs=1e-9) for x in grades[doc_id])
+
+
+def test_samples_keep_their_bounds_at_any_size(spark):
+    ids = spark.range(20_000)
+    for most, rows in ((2_000, 1e10), (6_000, 1e10)):
+        share = 0.95 * most / rows
+        assert int(share * 1_000_000) == 0
+        wide = ids.where(quality.below(share * 1e6, F.col("id"))).count()  # a millionth of such a table
+        assert abs(wide - 20_000 * share * 1e6) < 5 * (20_000 * share * 1e6) ** 0.5
+    assert ids.where(quality.below(1e-30, F.col("id"))).count() == 0 and ids.where(quality.below(1.0, F.col("id"))).count() == 20_000
+    rows = spark.createDataFrame([(i, [1, 2, 3, 4], [0.5] * 4, 4, i % 2) for i in range(1000)], "doc_id long, at array<int>, x array<double>, size long, label int")
+    assert len(quality.sparse_rows(rows)) == 1000
+    thinned = quality.sparse_rows(rows, most=1000)
+    assert 150 < len(thinned) < 350 and all(at.tolist() == [1, 2, 3, 4] for at, _, _, _ in thinned)
+
+
 def test_ordinal_model_orders_grades():
     rng = np.random.default_rng(0)
     rows = []

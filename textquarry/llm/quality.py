@@ -4,9 +4,12 @@ Inputs are hashed words (tf, length-normalised), statistics of the text's struct
 labels, lang, source or doc_id. The score is
     b + sum w_i x_i + 1/2 sum_f [ (sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2 ]
 whose pairwise part takes linear time by the sum-of-squares identity, passed through a logistic
-function. It is fitted by AdaGrad on a bounded sample of labelled rows (MAX_ROWS, chosen by a hash of
-the id) of which none is held out; every text is scored whole. Null and empty texts get the score of
-a text without words. If no row can be learned from, all scores are 0.5.
+function. It is fitted by AdaGrad on a bounded sample of labelled rows (MAX_ROWS and MAX_FEATURES, chosen by
+a hash of the id) of which none is held out; every text is scored whole, long ones too. Null and empty texts
+get the score of a text without words. If no row can be learned from, all scores are 0.5. An id with several
+labels counts with the largest, null labels and ids are not learned from. Repeated rows are scored and returned
+each, equal texts alike; an empty table gives no rows. Other columns, whatever their names, are not read;
+keep_good keeps them.
 """
 
 from __future__ import annotations
@@ -16,13 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_arrow
+from .common import held_out, map_arrow, materialize
 from .words import LOWER_BYTES, WordHashes, texts
 
 MAX_ROWS = 6_000
+#: Features of all sampled rows together (64 MB on the driver), however long the texts.
+MAX_FEATURES = 4_000_000
 WORD_BITS = 14
 FACTORS = 6
 EPOCHS = 6
@@ -98,25 +103,48 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], factors: int = FACTORS,
     return Machine(b, w, v)
 
 
+def below(share: float, key: Column) -> Column:
+    """Whether the key's 63-bit hash lies below a share of all of them, however small the share."""
+    return F.shiftrightunsigned(F.xxhash64(key), 1) < F.lit(min((1 << 63) - 1, int(share * (1 << 63))))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """doc_id, text, label of about `most` rows at most, chosen by a hash of the id; never held-out rows.
     The ids are at most a few bytes times `most`, so they may be broadcast."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    share = min(1.0, 0.95 * most / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    share = 0.95 * most / max(1, known.count())
+    chosen = known.where(below(share, F.col("doc_id"))) if share < 1 else known
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+def sparse_rows(df: DataFrame, most: int = MAX_FEATURES) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(at, x, label, size) of each row of df (doc_id, at, x, size, label) in a fixed order, as NumPy views of Arrow
+    columns: no Python object a feature. Of more than `most` features, rows are thinned out by a hash of the id."""
+    df = materialize(df, "sample-features")
+    total = df.agg(F.sum(F.size("at"))).first()[0] or 0
+    got = (df.where(below(most / total, F.concat(F.col("doc_id").cast("string"), F.lit("-thin")))) if total > most else df).toArrow().combine_chunks()
+    if not got.num_rows:
+        return []
+    flat = {}
+    for name, kind in (("at", np.int64), ("x", np.float64)):
+        column = got[name].chunk(0) if hasattr(got[name], "chunk") else got[name]
+        flat[name] = column.values.to_numpy().astype(kind)
+        ends = column.offsets.to_numpy()
+    order = np.lexsort((got["size"].to_numpy(), got["doc_id"].to_numpy()))
+    labels, sizes = got["label"].to_numpy(), got["size"].to_numpy()
+    return [(flat["at"][ends[i] : ends[i + 1]], flat["x"][ends[i] : ends[i + 1]], int(labels[i]), int(sizes[i])) for i in order]
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Machine:
     def extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in it:
             found = [features(t, cache) for t in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float64())), batch.column(2)], ["doc_id", "at", "x", "label"])
+            at, x = pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), at, x, pa.array([len(a) for a, _ in found], pa.int64()), batch.column(2)], ["doc_id", "at", "x", "size", "label"])
 
-    rows = labelled_sample(docs, labels, "quality", most).transform(map_arrow, extract, "doc_id long, at array<int>, x array<double>, label int").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], len(r["at"])))
-    return fit([(np.array(r["at"]), np.array(r["x"]), r["label"]) for r in rows])
+    rows = sparse_rows(labelled_sample(docs, labels, "quality", most).transform(map_arrow, extract, "doc_id long, at array<int>, x array<double>, size long, label int"))
+    return fit([(at, x, label) for at, x, label, _ in rows])
 
 
 def score_quality(docs: DataFrame, machine: Machine) -> DataFrame:

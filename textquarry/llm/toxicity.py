@@ -6,8 +6,10 @@ are drawn from how often words stand in them that are found nearly only in toxic
 third of the toxic rows it is grade 1, above the upper third 3. Features are the words (exact 64-bit
 hashes, so that rare words cannot collide) that the sample ties to toxic rows; values are log(1 + times).
 The expected severity is the mean grade under the model. Fitted on a bounded sample of labelled rows
-(MAX_ROWS), never on held-out ones; all texts are scored whole. Null and empty texts have no features;
-without toxic training rows every text is clean.
+(MAX_ROWS, MAX_WORDS), never on held-out ones; all texts are scored whole, long ones too. As the grades of the
+sample restate how many toxic words a text holds, a severity says no more than that. Null and empty texts have no
+features; without toxic training rows every text is clean. An id with several labels counts with the largest.
+Repeated rows are scored and returned each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, map_arrow
-from .quality import labelled_sample
+from .quality import labelled_sample, sparse_rows
 from .words import ITEM_BYTES, WordHashes, texts
 
 MAX_ROWS = 20_000
 GRADES = 4
 #: A word becomes a feature if so many sampled rows have it and so large a share of them is toxic.
 MIN_ROWS, MIN_SHARE = 4, 0.9
+#: Features at most: of more words tied to toxicity the most frequent.
+MAX_WORDS = 200_000
 
 
 @dataclass
@@ -94,7 +98,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Ordinal:
     rows = spark.read.parquet(path)
     one = rows.select("label", F.explode(F.array_distinct("words")).alias("word"))
     tied = one.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).where((F.col("n") >= MIN_ROWS) & (F.col("toxic") >= MIN_SHARE * F.col("n")))
-    vocabulary = np.sort(np.array([r.word for r in tied.select("word").collect()], dtype=np.int64).view(np.uint64))
+    words = tied.orderBy(F.desc("n"), "word").limit(MAX_WORDS).select("word").toArrow()["word"].to_numpy()
+    vocabulary = np.sort(words.astype(np.int64).view(np.uint64))
     model = Ordinal(vocabulary, np.zeros(len(vocabulary)), np.zeros(GRADES - 1))
     known = spark.sparkContext.broadcast(model)
 
@@ -104,15 +109,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Ordinal:
             sizes = [len(h) for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([a for _, a in found], pa.list_(pa.int64())), pa.array(sizes, pa.int64()), batch.column(2)], ["doc_id", "x", "at", "size", "label"])
 
-    got = rows.transform(map_arrow, shrink, "doc_id long, x array<double>, at array<long>, size long, label int").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["size"]))
-    times = lambda r: sum(np.expm1(r["x"]))
-    toxic = sorted(times(r) for r in got if r["label"])
+    got = sparse_rows(rows.transform(map_arrow, shrink, "doc_id long, x array<double>, at array<long>, size long, label int"))
+    times = [float(np.expm1(x).sum()) for _, x, _, _ in got]
+    toxic = sorted(t for t, (_, _, label, _) in zip(times, got, strict=True) if label)
     if not toxic:
         return Ordinal(vocabulary[:0], np.zeros(0), np.array([35.0, 36.0, 37.0]))
     low, high = toxic[len(toxic) // 3], toxic[2 * len(toxic) // 3]
-    grade = lambda r: 0 if not r["label"] else 1 + (times(r) > low) + (times(r) > high)
-    return fit([(np.array(r["x"]), np.array(r["at"], dtype=int), grade(r)) for r in got], len(vocabulary), vocabulary)
+    grade = lambda t, label: 0 if not label else 1 + (t > low) + (t > high)
+    return fit([(x, at, grade(t, label)) for t, (at, x, label, _) in zip(times, got, strict=True)], len(vocabulary), vocabulary)
 
 
 def _kept(spark, df: DataFrame) -> str:
