@@ -59,7 +59,7 @@ def test_index_search_equals_scan(corpus, text):
 
 
 def test_simplified_map(spark):
-    m = han.simplified_map(spark)
+    m = han.simplified_map()
     assert m["書"] == "书" and m["記"] == "记" and "乾" not in m and "人" not in m
 
 

@@ -13,12 +13,17 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_agrees_with_sql(spark, con, name):
+    assert name in MAY_BE_EMPTY or con.sql(registry.ORACLES[name]).fetchall()
     same(registry.QUERIES[name](spark, SF), con, registry.ORACLES[name])
 
 
+#: Queries whose SQL finds no row in the smallest table, or in any.
+MAY_BE_EMPTY = {"kw_fallback", "reference_like"}
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+def test_query_without_sql_finds_rows(spark, name):
+    assert registry.QUERIES[name](spark, SF).count() > 0
 
 
 def test_oracles_are_queries():

@@ -33,7 +33,7 @@ QUERIES = [
     "alpha NEAR/0 beta", "alpha NEAR/1 beta", "alpha NEAR/2 gamma", '"alpha beta" NEAR/1 delta', "gov*", "quick dog OR gamma",
     "alpha OR beta gamma", "alpha AND beta NOT gamma", "beta NOT delta OR fox", "dog fox", "1999", "nothing OR fox OR alpha",
     "(alpha OR fox) AND (dog OR beta)", "alpha beta NOT gamma", '"fox dog"', "missing", "fox AND missing", "connection", "connect*",
-    "dog NEAR/3 fox", "alpha NEAR/1 beta NOT gamma", "新疆", '"新疆"', "边疆 OR fox", "the",
+    "dog NEAR/3 fox", "alpha NEAR/1 beta NOT gamma", "新疆", '"新疆"', "边疆 OR fox", "the", "cafe", "résumé OR resume", "naive cafe", "CAFÉ NEAR/2 naïve",
 ]
 
 
@@ -67,7 +67,7 @@ def test_matches_and_scores_equal_fts5(spark, blocks, stemmed):
     for r in search.search_batch(blocks, plain, limit=100, stemmed=stemmed).collect():
         got.setdefault(r["query"], {})[r.doc_key] = r.score
     for name, text in plain.items():
-        want = sqlite_hits(fts(parse(text).tree), "porter unicode61" if stemmed else "unicode61")
+        want = sqlite_hits(fts(search.folded_query(parse(text), False).tree), "porter unicode61" if stemmed else "unicode61")
         assert set(got.get(name, {})) == set(want), text
         for doc, score in want.items():
             assert got[name][doc] == pytest.approx(score, abs=6e-5), (text, doc)
@@ -129,3 +129,51 @@ def test_stemmer_equals_sqlite():
     con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", enumerate(words))
     want = dict(con.execute("SELECT doc, term FROM v"))
     assert {w: stem(w) for w in words} == {w: want[i] for i, w in enumerate(words)}
+
+
+def test_traditional_characters_meet_simplified_ones(spark):
+    rows = [(1, 0, "黨委書記"), (2, 0, "党委书记"), (3, 0, "plain")]
+    blocks = spark.createDataFrame(rows, "doc_key long, block_index int, text string")
+    for text in ("書記", "书记", '"黨委"', '"党委"'):
+        assert {r.doc_key for r in search.search(blocks, text).collect()} == {1, 2}
+    assert {r.doc_key for r in search.exact_ranges(blocks, "黨委書記").collect()} == {1, 2}
+
+
+def test_flexible_anchors(spark):
+    df = spark.createDataFrame([("x 党 委 y",), ("ab  cd",), ("A\nb",)], "t string")
+    from pyspark.sql import functions as F
+
+    assert [r[0] is not None for r in df.select(search.anchor_offset(F.col("t"), '"党委"')).collect()] == [True, False, False]
+    assert [r[0] is not None for r in df.select(search.anchor_offset(F.col("t"), '"a b"')).collect()] == [False, False, True]
+
+
+def exact_by_hand(blocks, phrase):
+    rows = [(b, w) for b, t in blocks for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()]
+    ranks, words, best = {b: k for k, b in enumerate(dict.fromkeys(b for b, _ in rows))}, phrase.split(), None
+    for p in range(len(rows) - len(words) + 1):
+        if [w for _, w in rows[p : p + len(words)]] == words:
+            a, z = rows[p][0], rows[p + len(words) - 1][0]
+            best = min(best or (9**9,), (ranks[z] - ranks[a], p, a, z))
+    return best and best[2:]
+
+
+def test_exact_ranges_equal_a_plain_scan(spark):
+    import random
+
+    rng = random.Random(3)
+    docs = {d: [(b, " ".join(rng.choice(["a", "b", "c", "--", "B!"]) for _ in range(rng.randrange(0, 4)))) for b in range(12)] for d in range(60)}
+    df = spark.createDataFrame([(d, b, t) for d, bs in docs.items() for b, t in bs], "doc_key long, block_index int, text string").repartition(5)
+    for phrase in ("a", "a b", "b c a", "a b c b a"):
+        got = {r.doc_key: (r.block_start, r.block_end) for r in search.exact_ranges(df, phrase).collect()}
+        assert got == {d: r for d, bs in docs.items() if (r := exact_by_hand(bs, phrase))}
+
+
+def test_a_phrase_without_match_is_quick(spark):
+    import time
+
+    df = spark.createDataFrame([(1, i, f"block {i} holds some words that never match") for i in range(5_000)], "doc_key long, block_index int, text string").cache()
+    df.count()
+    search.exact_ranges(df, "match block zero").collect()
+    began = time.monotonic()
+    assert search.exact_ranges(df, "never some words").collect() == []
+    assert time.monotonic() - began < 3

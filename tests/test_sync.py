@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from textquarry.operators import index, search, sync
@@ -72,22 +73,31 @@ def test_incremental_postings_equal_a_rebuild(spark):
     assert listed(index.updated(old, new, changes)) == listed(index.postings(tokens(spark, after)))
 
 
-def test_snapshot_flips_last(spark, tmp_path):
-    snap = index.Snapshot(spark, f"file://{tmp_path}/s")
-    assert snap.read() is None
-    snap.publish(spark.range(3))
-    spark.range(9).write.parquet(f"{tmp_path}/s/v2")  # a crash before the flip
-    assert snap.version() == 1 and snap.read().count() == 3
-    assert snap.publish(spark.range(5)) == 2 and snap.read().count() == 5
-
-
-def test_write_buckets_keeps_the_others(spark, tmp_path):
-    posts = index.postings(tokens(spark, [(i, 0, f"w{i} common") for i in range(40)]))
-    index.write_buckets(posts, f"{tmp_path}/p")
-    index.write_buckets(posts.where("bucket = 3").limit(1), f"{tmp_path}/p")
-    kept = spark.read.parquet(f"{tmp_path}/p")
-    assert kept.where("bucket = 3").count() == 1
-    assert kept.where("bucket <> 3").count() == posts.where("bucket <> 3").count()
+def test_pointer_appears_last(spark, tmp_path):
+    store = index.BucketStore(spark, f"file://{tmp_path}/s")
+    rows = lambda n: spark.createDataFrame([(i, f"r{i}") for i in range(n)], "doc_key long, x string")
+    assert store.read() is None and store.version() == 0
+    store.publish(rows(30), 4)
+    rows(9).write.parquet(f"{tmp_path}/s/v2")  # a crash before the pointer is written
+    (tmp_path / "s/versions/.2.tmp").write_text("{")  # and one while it is
+    assert store.version() == 1 and store.read().count() == 30
+    assert store.publish(rows(5), 4) == 2 and store.read().count() == 5
+    with pytest.raises(RuntimeError):
+        store.pointer.write(2, {})
+
+
+def test_updates_rewrite_only_the_buckets_they_touch(spark, tmp_path):
+    store = index.BucketStore(spark, f"file://{tmp_path}/s")
+    store.publish(spark.createDataFrame([(i, "old") for i in range(60)], "doc_key long, x string"), 8)
+    before = store.state()["folders"]
+    changes = spark.createDataFrame([(3, "changed"), (4, "removed"), (5, "unreadable")], "doc_key long, state string")
+    store.update(spark.createDataFrame([(3, "new"), (5, "not taken")], "doc_key long, x string"), changes)
+    after, want = store.state()["folders"], {i: "old" for i in range(60) if i != 4} | {3: "new"}
+    assert {r.doc_key: r.x for r in store.read().collect()} == want
+    assert 0 < sum(before[b] != after.get(b) for b in before) <= 2
+    assert store.vacuum() and {r.doc_key: r.x for r in store.read().collect()} == want and store.pointer.versions() == [2]
+    assert store.compact(most_files=1) and {r.doc_key: r.x for r in store.read().collect()} == want
+    assert not store.compact()
 
 
 def test_stream_replaces_documents(spark, tmp_path):
@@ -96,8 +106,9 @@ def test_stream_replaces_documents(spark, tmp_path):
     ingest.start(spark, source, schema, root, f"{tmp_path}/cp").awaitTermination()
     spark.createDataFrame([(1, "new text")], schema).write.mode("append").parquet(source)
     ingest.start(spark, source, schema, root, f"{tmp_path}/cp").awaitTermination()
-    got = index.Snapshot(spark, root).read()
-    assert {(r.doc_key, r.term) for r in got.collect()} == {(1, "new"), (1, "text"), (2, "stay")}
+    stored = index.KeywordIndex(spark, root)
+    assert {(r.doc_key, r.term) for r in stored.posts.read().collect()} == {(1, "new"), (1, "text"), (2, "stai")}
+    assert {(r.doc_key, r.n_tokens) for r in stored.stats.read().collect()} == {(1, 2), (2, 1)}
 
 
 def test_reuse_verdict_and_diff_states(spark):

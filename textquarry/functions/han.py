@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import SparkSession
 
 RULES = "Traditional-Simplified"
@@ -11,9 +13,11 @@ SPAN = (0x4E00, 0x9FFF)
 KEPT = "乾"
 
 
-def simplified_map(spark: SparkSession, kept: str = KEPT) -> dict[str, str]:
-    """Character -> simplified character, of those that differ. One call into the driver's JVM; phrase rules do
+@functools.cache
+def simplified_map(kept: str = KEPT) -> dict[str, str]:
+    """Character -> simplified character, of those that differ. One call into the driver's JVM, once; phrase rules do
     not apply, so it approximates a dictionary converter."""
+    spark = SparkSession.active()
     chars = [chr(i) for i in range(SPAN[0], SPAN[1] + 1) if chr(i) not in kept]
     icu = spark.sparkContext._jvm.com.ibm.icu.text.Transliterator.getInstance(RULES)
     out = icu.transliterate("\n".join(chars)).split("\n")

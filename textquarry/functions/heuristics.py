@@ -35,7 +35,7 @@ CITED_YEAR = r"\(\d{4}[a-z]?\)"
 CITATION_START = r"^[\p{L}\p{M}'’.-]+,\s+(?:\p{Lu}[\p{L}\p{M}'’.-]*|\p{Lu}\.)[\s\S]{0,120}\(\d{4}[a-z]?\)"
 CONTENTS_TITLE = r"(?i)^(?:contents|table of contents)$"
 PAGE_COUNT = r"(?i)^page \d+ of \d+$"
-CONTENTS_LINE = r"(?:^|[\s\S]{4,})\.{4,}\s*\d+\s*$"
+CONTENTS_LINE = r"(?:^\.{0,3}|[\s\S]{4})\.{4}\s*+\d++\s*+$"
 
 #: Word boundaries between ASCII word characters only.
 _B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .items import first_text, tidy, year_of
@@ -76,6 +76,17 @@ def recent_row(item: Column) -> Column:
     return F.struct(d["key"].alias("item_key"), F.trim(F.coalesce(d["title"], F.lit(""))).alias("title"), display_names(d["creators"]).alias("authors"), year_of(item["meta"]["parsedDate"], d["date"]).alias("year"), d["itemType"].alias("type"), d["dateAdded"].alias("added"), d["dateModified"].alias("modified"))
 
 
+#: Kinds of items that stand below others.
+CHILD_TYPES = ("note", "attachment", "annotation")
+
+
+def newest(items: DataFrame, limit: int = 10, order: str = "dateAdded", most: int = 100) -> DataFrame:
+    """Rows (see recent_row) of the newest regular items of a library table (structs data and meta)."""
+    rows = items.where(~F.coalesce(F.col("data.itemType").isin(*CHILD_TYPES), F.lit(False)))
+    rows = rows.orderBy(F.desc(F.col(f"data.{order}")), F.col("data.key")).limit(min(limit, most))
+    return rows.select(recent_row(F.struct("data", "meta")).alias("r")).select("r.*")
+
+
 def translated_creators(creators: Column) -> Column:
     """Structs of creatorType, firstName, lastName, name: one-field names as name, empty ones dropped."""
 

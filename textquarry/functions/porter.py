@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-_STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
-_STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
-_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
 def _shape(word: str) -> str:
@@ -63,11 +63,11 @@ def stem(word: str) -> str:
                 w += "e"
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
+    for table in (STEP2, STEP3):
         suffix = max((x for x in table if w.endswith(x)), key=len, default=None)
         if suffix and _measure(w[: -len(suffix)]) > 0:
             w = w[: -len(suffix)] + table[suffix]
-    suffix = max((x for x in _STEP4 if w.endswith(x)), key=len, default=None)
+    suffix = max((x for x in STEP4 if w.endswith(x)), key=len, default=None)
     if suffix:
         rest = w[: -len(suffix)]
         if _measure(rest) > 1 and (suffix != "ion" or rest[-1:] in ("s", "t")):

@@ -5,6 +5,7 @@ Java's \\s leaves out no-break and other Unicode spaces, so white space is spell
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .han import simplified_map
+
 SPACE = r"[\s\p{Z}\x{FEFF}]"
 CJK = r"[\p{script=Han}\p{script=Hiragana}\p{script=Katakana}\p{script=Hangul}]"
 HAN = r"\p{script=Han}"
@@ -57,24 +60,43 @@ def words_only(c: Column) -> Column:
     return collapse_cjk(F.regexp_replace(spaced, "^ +| +$", ""))
 
 
-def exact_text(c: Column, simplify: dict[str, str] | None = None) -> Column:
-    """Key for exact comparison: NFKC, optional Traditional-to-Simplified folding, then words_only."""
+def exact_text(c: Column, simplify: bool = True) -> Column:
+    """Key for exact comparison: NFKC, Traditional-to-Simplified folding, then words_only."""
     c = nfkc(c)
-    if simplify:
-        c = F.when(c.rlike(HAN), F.translate(c, "".join(simplify), "".join(simplify.values()))).otherwise(c)
-    return words_only(c)
+    return words_only(han_fold(c) if simplify else c)
+
+
+@functools.cache
+def latin_bases() -> dict[str, str]:
+    """Latin letters with marks -> their base letters, in both cases."""
+    found = {chr(i): unicodedata.normalize("NFD", chr(i)) for i in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]}
+    return {c: d[0] for c, d in found.items() if len(d) > 1 and d[0] != c and all(unicodedata.combining(x) for x in d[1:])}
 
 
 def diacritic_fold(c: Column) -> Column:
-    """Latin letters to their base letters."""
-    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))[0]) for i in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(i))) > 1]
-    return F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+    """Latin letters to their base letters, and combining marks dropped; ASCII texts are left as they are."""
+    bases = latin_bases()
+    folded = F.regexp_replace(F.translate(c, "".join(bases), "".join(bases.values())), r"\p{Mn}+", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
+
+
+def han_fold(c: Column) -> Column:
+    """Traditional to Simplified characters, of texts that have Han characters."""
+    simple = simplified_map()
+    return F.when(c.rlike(HAN), F.translate(c, "".join(simple), "".join(simple.values()))).otherwise(c)
+
+
+def fold_word(word: str) -> str:
+    """What tokens() makes of a word of a query."""
+    simple, bases = simplified_map() if any(ord(c) > 0x2E7F for c in word) else {}, latin_bases()
+    return "".join(bases.get(c, simple.get(c, c)) for c in word.lower() if not unicodedata.combining(c))
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case runs of letters and numbers, CJK characters apart; only texts that have some are segmented."""
-    apart = F.when(c.rlike(CJK), segment_cjk(c)).otherwise(c)
-    return F.regexp_extract_all(F.lower(apart), F.lit(WORD), F.lit(0))
+    """Lower-case runs of letters and numbers without diacritics, CJK characters apart and simplified; only texts that
+    have such characters are changed."""
+    apart = F.when(c.rlike(CJK), segment_cjk(han_fold(c))).otherwise(c)
+    return F.regexp_extract_all(F.lower(diacritic_fold(apart)), F.lit(WORD), F.lit(0))
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -90,8 +112,9 @@ def occurrences(c: Column, literal: str) -> Column:
 
 def reflow(c: Column) -> Column:
     """A passage as prose: hyphenated and CJK line breaks joined, others to spaces; edge ellipses stay."""
-    lead, trail = F.when(c.startswith("…"), "…").otherwise(""), F.when(c.endswith("…"), "…").otherwise("")
-    core = F.regexp_replace(F.regexp_replace(c, "^…", ""), "…$", "")
+    rest = F.regexp_replace(c, "^…", "")
+    lead, trail = F.when(c.startswith("…"), "…").otherwise(""), F.when(rest.endswith("…"), "…").otherwise("")
+    core = F.regexp_replace(rest, "…$", "")
     core = F.regexp_replace(core, rf"([A-Za-z])-{SPACE}*\n+{SPACE}*([a-z])", "$1$2")
     core = F.regexp_replace(core, rf"({CJK}){SPACE}*\n+{SPACE}*({CJK})", "$1$2")
     core = F.regexp_replace(core, rf"{SPACE}*\n+{SPACE}*", " ")

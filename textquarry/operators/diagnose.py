@@ -26,7 +26,7 @@ def diagnose(blocks: DataFrame, limit: int = 50, everything: bool = False, **thr
     return rows.orderBy(severity, F.desc("blocks"), "doc_key").limit(limit)
 
 
-def summary(blocks: DataFrame, documents: DataFrame) -> DataFrame:
+def summary(blocks: DataFrame, documents: DataFrame, **thresholds) -> DataFrame:
     """One row: documents scanned and by status; skipped are those without text."""
-    counts = statistics(blocks).agg(F.count("*").alias("scanned"), *[F.count_if(F.col("status") == s).alias(s) for s in ("suspicious", "borderline", "ok")])
+    counts = statistics(blocks, **thresholds).agg(F.count("*").alias("scanned"), *[F.count_if(F.col("status") == s).alias(s) for s in ("suspicious", "borderline", "ok")])
     return counts.join(documents.agg(F.count_distinct("doc_key").alias("documents"))).select("scanned", "suspicious", "borderline", "ok", (F.col("documents") - F.col("scanned")).alias("skipped"))

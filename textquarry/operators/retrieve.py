@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.heuristics import boilerplate_like, contents_like
-from ..functions.text import clean_text, compact
+from ..functions.text import clean_text, compact, once
 from .blocks import rendered
 
 
@@ -29,11 +29,13 @@ def clean_blocks(blocks: DataFrame) -> DataFrame:
     Lines of a table of contents count as boilerplate only near the start: max(8, min(30, 15 % of the blocks))."""
     whole = Window.partitionBy("doc_key")
     early = F.greatest(F.lit(8), F.least(F.lit(30), F.ceil(F.count("*").over(whole) * 0.15)))
-    noise = boilerplate_like(F.col("text")) | (contents_like(F.col("text")) & (F.col("block_index") < early))
-    rows = blocks.withColumn("noise", F.coalesce(noise, F.lit(False)))
-    key = F.when(F.col("noise"), F.concat(F.lit("noise "), F.col("block_index"))).when(F.col("block_type") == "heading", F.concat(F.lit("heading "), F.col("block_index"))).otherwise(F.concat_ws("\u0001", "block_type", F.lower(compact(clean_text(F.col("text"))))))
+    placed = blocks.withColumn("early", F.col("block_index") < early)
+    noise = boilerplate_like(F.col("text")) | (F.col("early") & contents_like(F.col("text")))
+    rows = once(placed, noise=F.coalesce(noise, F.lit(False)))
+    exempt = F.when(F.col("noise"), F.concat(F.lit("noise "), F.col("block_index"))).when(F.col("block_type") == "heading", F.concat(F.lit("heading "), F.col("block_index")))
+    rows = once(rows, key=F.coalesce(exempt, F.md5(F.concat_ws("\u0001", "block_type", F.lower(compact(clean_text(F.col("text"))))).cast("binary"))))
     turn = F.row_number().over(Window.partitionBy("doc_key", "key").orderBy("block_index"))
-    return rows.withColumn("key", key).withColumn("turn", turn).withColumn("drop", F.when(F.col("noise"), "boilerplate").when(F.col("turn") > 1, "duplicate")).drop("key", "turn", "noise")
+    return rows.withColumn("turn", turn).withColumn("drop", F.when(F.col("noise"), "boilerplate").when(F.col("turn") > 1, "duplicate")).drop("key", "turn", "noise", "early")
 
 
 def clean_fulltext(blocks: DataFrame) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.han import simplified_map
 from ..functions.porter import stem, stem_all
-from ..functions.text import exact_text, occurrences, once, reflow, tokens, window
+from ..functions.text import CJK, exact_text, fold_word, occurrences, once, reflow, segment_cjk, tokens, window
 from ..plans import match, query
 from ..plans.query import Phrase, Query
 
@@ -17,17 +18,24 @@ RADIUS = 250
 SCORE_DIGITS = 4
 
 
-def tokenised(blocks: DataFrame, stemmed: bool = False) -> DataFrame:
-    """doc_key, block_index, text, tokens of all blocks that are indexed: those whose text is not blank."""
+def tokenised(blocks: DataFrame, stemmed: bool = True) -> DataFrame:
+    """doc_key, block_index, text, tokens (folded, and stemmed) of all blocks that are indexed: those whose text is not
+    blank. Stemming is the one step in Python; a stored index keeps its result."""
     words = tokens(F.col("text"))
     out = once(blocks.where(F.trim("text") != "").select("doc_key", "block_index", "text"), tokens=words)
     return out.withColumn("tokens", stem_all("tokens")) if stemmed else out
 
 
-def stemmed_query(q: Query) -> Query:
+def folded_query(q: Query, stemmed: bool = True) -> Query:
+    """The query with its words folded, and stemmed, as those of the index are."""
+
+    def word(w: str) -> str:
+        w = fold_word(w)
+        return stem(w) if stemmed else w
+
     def of(x):
         if isinstance(x, Phrase):
-            return Phrase(tuple(stem(w) for w in x.words), x.prefix)
+            return Phrase(tuple(word(w) for w in x.words), x.prefix)
         if isinstance(x, query.Near):
             return query.Near(tuple(of(p) for p in x.phrases), x.distance)
         return query.Op(x.kind, of(x.left), of(x.right))
@@ -36,11 +44,10 @@ def stemmed_query(q: Query) -> Query:
 
 
 def _parsed(text: str, stemmed: bool) -> Query:
-    q = query.parse(text)
-    return stemmed_query(q) if stemmed else q
+    return folded_query(query.parse(text), stemmed)
 
 
-def block_hits(blocks: DataFrame, text: str, allowed: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
+def block_hits(blocks: DataFrame, text: str, allowed: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
     """All matching blocks with their scores, rounded so that equal scores sort alike everywhere."""
     hits = match.search_blocks(tokenised(blocks, stemmed).drop("text"), _parsed(text, stemmed), allowed)
     return hits.select("doc_key", "block_index", F.round("score", SCORE_DIGITS).alias("score"))
@@ -62,28 +69,52 @@ def search(blocks: DataFrame, text: str, limit: int = 10, min_score: float | Non
     return out if min_score is None else out.where(F.col("score") >= min_score)
 
 
-def search_index(postings: DataFrame, stats: DataFrame, text: str, limit: int = 10, allowed: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
+def search_index(postings: DataFrame, stats: DataFrame, text: str, limit: int = 10, allowed: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
     """`search` over a stored index: postings and block_stats (see operators.index)."""
     hits = match.search_index(postings, stats, _parsed(text, stemmed), allowed)
     hits = hits.select("doc_key", "block_index", F.round("score", SCORE_DIGITS).alias("score"))
     return best_of_document(hits).orderBy(F.desc("score"), "doc_key").limit(limit)
 
 
-def search_batch(blocks: DataFrame, texts: dict[str, str], limit: int = 10, stemmed: bool = False) -> DataFrame:
-    """Many queries over one tokenised corpus: a branch a query, ranked together."""
-    base = tokenised(blocks, stemmed).drop("text")
-    hits = [match.search_blocks(base, _parsed(t, stemmed)).select(F.lit(name).alias("query"), "doc_key", "block_index", F.round("score", SCORE_DIGITS).alias("score")) for name, t in texts.items()]
-    best = best_of_document(reduce(DataFrame.unionByName, hits), "query")
+def _ranked(hits: DataFrame, limit: int) -> DataFrame:
+    best = best_of_document(hits.select("query", "doc_key", "block_index", F.round("score", SCORE_DIGITS).alias("score")), "query")
     turn = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_key"))
     return best.withColumn("rank", turn).where(F.col("rank") <= limit)
 
 
+def _phrases(queries: dict[str, Query]) -> list[Phrase]:
+    return list(dict.fromkeys(p for q in queries.values() for p in q.phrases))
+
+
+def search_batch(blocks: DataFrame, texts: dict[str, str], limit: int = 10, stemmed: bool = True) -> DataFrame:
+    """query, doc_key, block_index, score, rank of many queries: all are matched in the same pass over the blocks."""
+    queries = {name: _parsed(t, stemmed) for name, t in texts.items()}
+    phrases = _phrases(queries)
+    placed = match.placed_in_blocks(tokenised(blocks, stemmed).drop("text"), phrases).drop("tokens")
+    return _ranked(match.search_many(placed, queries, phrases), limit)
+
+
+def search_index_batch(postings: DataFrame, stats: DataFrame, texts: dict[str, str], limit: int = 10, stemmed: bool = True) -> DataFrame:
+    """`search_batch` over a stored index: postings are read for the union of all queries' words."""
+    queries = {name: _parsed(t, stemmed) for name, t in texts.items()}
+    phrases = _phrases(queries)
+    return _ranked(match.search_many(match.placed_in_index(postings, phrases), queries, phrases, stats), limit)
+
+
+def flexible(literal: str) -> str:
+    """Pattern of a literal that tolerates any white space between words, and between CJK characters none or some."""
+    words = []
+    for word in literal.split():
+        words.append("".join(re.escape(c) + (r"\s*" if query.is_cjk(c) and query.is_cjk(d) else "") for c, d in zip(word, word[1:] + " ", strict=True)))
+    return r"\s+".join(words)
+
+
 def anchor_offset(snippet: Column, text: str) -> Column:
     """Middle of the first candidate of the query that the snippet holds, from 0; null if it holds none."""
     found = []
     for literal, prefix in query.anchors(text):
-        body = r"\s+".join(re.escape(w) for w in literal.split())
-        pattern = rf"(?i)(?<![\p{{L}}\p{{N}}]){body}" + (r"[\p{L}\p{N}]*" if prefix else r"(?![\p{L}\p{N}])")
+        body = flexible(literal)
+        pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}]){body}" + (r"[\p{L}\p{N}]*" if prefix else r"(?![\p{L}\p{N}])")
         at = F.regexp_instr(snippet, F.lit(pattern))
         size = F.length(F.regexp_extract(snippet, pattern, 0))
         found.append(F.when(at > 0, at - 1 + F.floor(F.greatest(F.lit(1), size) / 2)))
@@ -102,28 +133,45 @@ def passages(hits: DataFrame, blocks: DataFrame, markdown: DataFrame, text: str,
     return out.select("doc_key", "block_index", "score", "char_offset", reflow(window(F.col("markdown"), F.col("char_offset").cast("int"), radius)).alias("passage"))
 
 
-def exact_ranges(blocks: DataFrame, phrase: str, simplify: dict[str, str] | None = None) -> DataFrame:
+def exact_ranges(blocks: DataFrame, phrase: str, simplify: bool = True) -> DataFrame:
     """doc_key, block_start, block_end: the narrowest range of blocks over which a phrase stands literally, with
-    token boundaries, block borders counting as spaces.
-
-    Every block that is not empty is a run of tokens; the phrase's first words are looked for in the row of
-    all of them, and each match lies between the blocks that hold its ends."""
-    words = list(query.words_of(phrase))
-    parts = blocks.select("doc_key", "block_index", exact_text(F.col("text"), simplify).alias("t")).where("t != ''")
-    rows = parts.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("block_index", "t"))).alias("bs"))
-    rows = rows.withColumn("body", F.array_join(F.transform("bs", lambda b: b["t"]), " "))
-    literal = " ".join(words)
-    rows = rows.where(F.col("body").contains(literal)) if literal.isascii() else rows
-    row_tokens = F.flatten(F.transform("bs", lambda b, i: F.transform(tokens(b["t"]), lambda w: F.struct(w.alias("w"), b["block_index"].alias("b"), i.alias("i")))))
-    rows = rows.withColumn("ts", row_tokens).withColumn("ws", F.transform("ts", lambda x: x["w"]))
-    at = match.positions(F.col("ws"), Phrase(tuple(words)))
-    size = len(words) - 1
-    ends = F.transform(at, lambda p: F.struct((F.get("ts", p + size)["i"] - F.get("ts", p)["i"]).alias("span"), p.alias("p"), F.get("ts", p)["b"].alias("a"), F.get("ts", p + size)["b"].alias("z")))
-    rows = rows.select("doc_key", F.array_min(ends).alias("best")).where("best is not null")
+    token boundaries, block borders counting as spaces; of equally narrow ones the first.
+
+    A match lies inside a block, or begins among a block's last tokens and ends in one of the next blocks: of n
+    words, the last n - 1 tokens of a block and the first n - 1 of what follows tell. So tokens are made once a
+    block, and only a block's ends move."""
+    words = tuple(w for p in exact_words(phrase, simplify) for w in query.words_of(p))
+    n, key = len(words) - 1, Phrase(words)
+    parts = once(blocks.select("doc_key", "block_index", "text"), ts=exact_tokens(exact_text(F.col("text"), simplify))).where(F.size("ts") > 0)
+    inside = F.get(match.positions(F.col("ts"), key), F.lit(0))
+    parts = once(parts, inside=inside, head=F.slice("ts", 1, max(n, 1)), tail=F.slice("ts", F.greatest(F.lit(1), F.size("ts") - n + 1), F.lit(max(n, 1))), size=F.size("ts")).drop("ts", "text")
+    order = Window.partitionBy("doc_key").orderBy("block_index")
+    best = F.when(F.col("inside").isNotNull(), F.struct(F.lit(0).alias("span"), F.col("block_index").alias("a"), F.col("inside").alias("p"), F.col("block_index").alias("z")))
+    if n > 0:
+        ahead = order.rowsBetween(1, n)
+        parts = parts.withColumn("next", F.slice(F.flatten(F.transform(F.collect_list(F.struct("block_index", "head")).over(ahead), lambda b, i: F.transform(b["head"], lambda w: F.struct(w.alias("w"), b["block_index"].alias("b"), (i + 1).alias("k"))))), 1, n))
+        parts = once(parts, row=F.concat("tail", F.transform("next", lambda x: x["w"])))
+        cut = F.size("tail")
+        across = F.filter(match.positions(F.col("row"), key), lambda i: (i < cut) & (i + n >= cut))
+        found = F.transform(across, lambda i: F.struct(F.get("next", i + n - cut)["k"].alias("span"), F.col("block_index").alias("a"), (F.col("size") - cut + i).alias("p"), F.get("next", i + n - cut)["b"].alias("z")))
+        best = F.coalesce(best, F.array_min(found))
+    rows = parts.select("doc_key", best.alias("best")).where("best is not null").groupBy("doc_key").agg(F.min("best").alias("best"))
     return rows.select("doc_key", F.col("best.a").alias("block_start"), F.col("best.z").alias("block_end"))
 
 
-def search_in(blocks: DataFrame, text: str, limit: int = 10, stemmed: bool = False) -> DataFrame:
+def exact_words(phrase: str, simplify: bool = True) -> list[str]:
+    """A phrase as exact_text would have it."""
+    simple = simplified_map() if simplify else {}
+    text = "".join(simple.get(c, c) for c in unicodedata.normalize("NFKC", phrase))
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
+
+
+def exact_tokens(c: Column) -> Column:
+    """Tokens of an exact text: its words, CJK characters apart."""
+    return F.filter(F.split(F.when(c.rlike(CJK), segment_cjk(c)).otherwise(c), " "), lambda w: w != "")
+
+
+def search_in(blocks: DataFrame, text: str, limit: int = 10, stemmed: bool = True) -> DataFrame:
     """Within the given blocks (of one item, or of many): block hits, and for a single quoted phrase the exact
     range with score 100 less its width; of hits at one block the better stays."""
     hits = block_hits(blocks, text, stemmed=stemmed).withColumn("block_end", F.col("block_index"))

@@ -37,33 +37,31 @@ def positions(tokens: Column, phrase: Phrase) -> Column:
 
 def near_positions(found: list[Column], lengths: list[int], distance: int) -> list[Column]:
     """Of each phrase, the places that take part in a group of all phrases within the distance: with the last
-    of the group beginning at m, each has m - (place + length) <= distance and place <= m."""
-    every = reduce(F.concat, found)
+    of the group beginning at m, each has m - (place + length) <= distance and place <= m. Reaches are spelled out
+    and intersected as sets, so time is linear in the places."""
+    reach = [F.flatten(F.transform(f, _upto(n + distance))) for f, n in zip(found, lengths, strict=True)]
+    ends = reduce(F.array_intersect, reach, reduce(F.concat, found))
+    return [F.array_intersect(f, F.flatten(F.transform(ends, _downto(n + distance)))) for f, n in zip(found, lengths, strict=True)]
 
-    ends = F.filter(every, lambda m: reduce(lambda a, b: a & b, [F.exists(f, _within(m, n, distance)) for f, n in zip(found, lengths, strict=True)]))
-    return [F.filter(f, _in_any(ends, n, distance)) for f, n in zip(found, lengths, strict=True)]
 
+def _upto(span: int):
+    return lambda p: F.sequence(p, p + span)
 
-def _within(m: Column, size: int, distance: int):
-    return lambda p: (p <= m) & (m - (p + size) <= distance)
 
-
-def _in_any(ends: Column, size: int, distance: int):
-    return lambda p: F.exists(ends, lambda m: (p <= m) & (m - (p + size) <= distance))
+def _downto(span: int):
+    return lambda m: F.sequence(m - span, m)
 
 
 def matched(blocks: DataFrame, query: Query) -> DataFrame:
     """blocks (doc_key, block_index, tokens) with n_tokens, tf (one a scored unit), unit (its phrase's number),
     own (one a phrase: whether the block holds it) and hit (whether the tree is true)."""
-    tokens = F.col("tokens")
-    placed = once(blocks, n_tokens=F.size("tokens"), **{f"__p{i}": positions(tokens, p) for i, p in enumerate(query.phrases)})
-    return _judged(placed, query)
+    return _judged(placed_in_blocks(blocks, query.phrases), query)
 
 
-def matched_in_index(postings: DataFrame, query: Query) -> DataFrame:
-    """The same from postings, of the blocks that hold any of the query's words. The terms are literals, so the
+def placed_in_index(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """The same from postings, of the blocks that hold any of the phrases' words. The terms are literals, so the
     scan prunes to them; positions of one block meet in one row, and phrases are intersections of shifted lists."""
-    slots = list(dict.fromkeys((w, p.prefix and k == len(p.words) - 1) for p in query.phrases for k, w in enumerate(p.words)))
+    slots = list(dict.fromkeys((w, p.prefix and k == len(p.words) - 1) for p in phrases for k, w in enumerate(p.words)))
     term = F.col("term")
     tests = [term.startswith(w) if prefix else term == w for w, prefix in slots]
     rows = postings.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
@@ -76,41 +74,76 @@ def matched_in_index(postings: DataFrame, query: Query) -> DataFrame:
         at = [F.col(f"__s{slots.index((w, p.prefix and k == len(p.words) - 1))}") for k, w in enumerate(p.words)]
         return reduce(F.array_intersect, [_shifted(c, k) for k, c in enumerate(at)])
 
-    placed = blocks.withColumns({f"__p{i}": places(p) for i, p in enumerate(query.phrases)})
-    return _judged(placed.drop(*[f"__s{i}" for i in range(len(slots))]), query)
+    placed = blocks.withColumns({f"__p{i}": places(p) for i, p in enumerate(phrases)})
+    return placed.drop(*[f"__s{i}" for i in range(len(slots))])
+
+
+def matched_in_index(postings: DataFrame, query: Query) -> DataFrame:
+    """`matched` from postings, of the blocks that hold any of the query's words."""
+    return _judged(placed_in_index(postings, query.phrases), query)
 
 
 def _shifted(places: Column, k: int) -> Column:
     return F.transform(places, lambda x: x - k)
 
 
-def _judged(placed: DataFrame, query: Query) -> DataFrame:
-    index = {p: F.col(f"__p{i}") for i, p in enumerate(query.phrases)}
+def _judgement(query: Query, places: dict[Phrase, Column], numbers: dict[Phrase, int]) -> tuple[Column, list[tuple[int, Column]]]:
+    """Whether the tree is true in a row, and its scored units (number of the phrase, times); units below an AND or NOT
+    that fails count nothing."""
 
     def truth(x) -> tuple[Column, list[tuple[int, Column]]]:
-        """Whether a subtree matches, and its scored units; units below an AND or NOT that fails count nothing."""
         if isinstance(x, Phrase):
-            return F.size(index[x]) > 0, [(query.phrases.index(x), F.size(index[x]))]
+            return F.size(places[x]) > 0, [(numbers[x], F.size(places[x]))]
         if isinstance(x, Near):
-            kept = near_positions([index[p] for p in x.phrases], [len(p.words) for p in x.phrases], x.distance)
+            kept = near_positions([places[p] for p in x.phrases], [len(p.words) for p in x.phrases], x.distance)
             sizes = [F.size(k) for k in kept]
-            return reduce(lambda a, b: a & b, [s > 0 for s in sizes]), [(query.phrases.index(p), s) for p, s in zip(x.phrases, sizes, strict=True)]
+            return reduce(lambda a, b: a & b, [s > 0 for s in sizes]), [(numbers[p], s) for p, s in zip(x.phrases, sizes, strict=True)]
         (left, some), (right, more) = truth(x.left), truth(x.right)
         if x.kind == "or":
             return left | right, some + more
         node = left & right if x.kind == "and" else left & ~right
         return node, [(u, F.when(node, s).otherwise(0)) for u, s in some + more]
 
-    hit, units = truth(query.tree)
+    return truth(query.tree)
+
+
+def _judged(placed: DataFrame, query: Query) -> DataFrame:
+    places = {p: F.col(f"__p{i}") for i, p in enumerate(query.phrases)}
+    hit, units = _judgement(query, places, {p: i for i, p in enumerate(query.phrases)})
     out = placed.select(
         *[c for c in placed.columns if c != "tokens" and not c.startswith("__p")],
         F.array(*[s for _, s in units]).alias("tf"),
-        F.array(*[F.size(index[p]) > 0 for p in query.phrases]).alias("own"),
+        F.array(*[F.size(places[p]) > 0 for p in query.phrases]).alias("own"),
         hit.alias("hit"),
     )
     return out.withColumn("unit", F.array(*[F.lit(u) for u, _ in units]))
 
 
+def search_many(placed: DataFrame, queries: dict[str, Query], phrases: list[Phrase], size: DataFrame | None = None) -> DataFrame:
+    """query, doc_key, block_index, n_tokens, score of all hits of many queries from one placed table, whose columns __p0..
+    are the places of the phrases: one pass for the figures of all, one for the hits of all. size: block_stats, where
+    placed holds only some of the blocks."""
+    places = {p: F.col(f"__p{i}") for i, p in enumerate(phrases)}
+    numbers = {p: i for i, p in enumerate(phrases)}
+    df = F.array(*[F.count_if(F.size(places[p]) > 0) for p in phrases]).alias("df")
+    if size is None:
+        figures = placed.agg(F.count("*").alias("n_blocks"), F.avg("n_tokens").alias("mean_tokens"), df)
+    else:
+        figures = size.agg(F.count("*").alias("n_blocks"), F.avg("n_tokens").alias("mean_tokens")).join(F.broadcast(placed.agg(df)))  # one row each
+    each = []
+    for name, q in queries.items():
+        hit, units = _judgement(q, places, numbers)
+        row = F.struct(F.lit(name).alias("query"), F.array(*[s for _, s in units]).alias("tf"), F.array(*[F.lit(u) for u, _ in units]).alias("unit"), F.lit(True).alias("hit"), F.array().cast("array<boolean>").alias("own"))
+        each.append(F.when(hit, row))
+    hits = placed.select("doc_key", "block_index", "n_tokens", F.inline(F.array_compact(F.array(*each))))
+    return scored(hits, figures)
+
+
+def placed_in_blocks(blocks: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """blocks (doc_key, block_index, tokens) with n_tokens and the places of each phrase."""
+    return once(blocks, n_tokens=F.size("tokens"), **{f"__p{i}": positions(F.col("tokens"), p) for i, p in enumerate(phrases)})
+
+
 def corpus_figures(matches: DataFrame, phrases: int) -> DataFrame:
     """One row: n_blocks, mean_tokens, df (blocks holding each phrase)."""
     df = F.array(*[F.count_if(F.get("own", F.lit(i))) for i in range(phrases)])

@@ -7,13 +7,15 @@ derived from documents by rules on doc_id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import heuristics
-from .functions.text import words_only
+from .functions import heuristics, papers
+from .functions.porter import stem
+from .functions.porter_sql import stem_steps
+from .functions.text import diacritic_fold, words_only
 from .operators import blocks as B
-from .operators import diagnose, index, metadata, retrieve, search, sync, vectors
+from .operators import diagnose, index, metadata, retrieve, search, semantic, sync, vectors
 from .registry import query
 from .sources.scan import spread
 
@@ -38,7 +40,20 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # SQL pieces shared by the oracles.
 LINES = "lines AS (SELECT doc_id AS doc_key, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM documents)"
-TOKS = LINES + r", blocks AS (SELECT doc_key, pos AS block_index, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS toks FROM lines WHERE trim(text) <> '')"
+
+
+def _stemmed(raw: str) -> str:
+    """CTEs from raw (doc_key, block_index, raw words) to blocks (doc_key, block_index, toks): every word's stem in place."""
+    return (
+        f"raw AS ({raw}), words AS (SELECT DISTINCT unnest(raw) AS t FROM raw), stems AS MATERIALIZED ({stem_steps('words', 't')}), "
+        "placed_stems AS (SELECT doc_key, block_index, list(stem ORDER BY i) AS toks FROM (SELECT doc_key, block_index, unnest(raw) AS t, unnest(range(len(raw))) AS i FROM raw) JOIN stems ON term = t GROUP BY ALL), "
+        "blocks AS (SELECT raw.doc_key, raw.block_index, coalesce(toks, []) AS toks FROM raw LEFT JOIN placed_stems p ON p.doc_key = raw.doc_key AND p.block_index = raw.block_index)"
+    )
+
+
+TOKS = LINES + ", " + _stemmed(r"SELECT doc_key, pos AS block_index, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS raw FROM lines WHERE trim(text) <> ''")
+#: Words as they stand, for exact phrases.
+EXACT_TOKS = LINES + r", blocks AS (SELECT doc_key, pos AS block_index, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS toks FROM lines WHERE trim(text) <> '')"
 BLOCKS = LINES + ", kept AS (SELECT doc_key, pos, trim(text) AS text FROM lines WHERE trim(text) <> ''), ann AS (SELECT doc_key, text, row_number() OVER w - 1 AS block_index, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start FROM kept WINDOW w AS (PARTITION BY doc_key ORDER BY pos)), blk AS (SELECT *, char_start + length(text) AS char_end FROM ann)"
 
 
@@ -51,13 +66,13 @@ def _positions(words: list[str], prefix: bool = False) -> str:
     return f"list_transform(list_filter(range(1, len(toks) + 1), lambda i: {' AND '.join(tests)}), lambda i: i - 1)"
 
 
-def _bm25(phrases: dict[str, str], hit: str, allowed: str = "TRUE", tf: dict[str, str] | None = None) -> str:
+def _bm25(phrases: dict[str, str], hit: str, allowed: str = "TRUE", tf: dict[str, str] | None = None, toks: str = TOKS) -> str:
     """CTEs ending in `scored` (doc_key, block_index, score) for phrases given as position lists."""
     tf = tf or {p: f"len({p})" for p in phrases}
     places = ", ".join(f"{sql} AS {p}" for p, sql in phrases.items())
     stats = ", ".join(f"count(*) FILTER (len({p}) > 0) AS df_{p}" for p in phrases)
     terms = " + ".join(f"greatest(ln((n - df_{p} + 0.5) / (df_{p} + 0.5)), 1e-6) * {t} * 2.2 / ({t} + 1.2 * (0.25 + 0.75 * len(toks) / avg_len))" for p, t in tf.items())
-    return f"WITH {TOKS}, placed AS (SELECT *, {places} FROM blocks), stats AS (SELECT count(*) AS n, avg(len(toks)) AS avg_len, {stats} FROM placed), scored AS (SELECT doc_key, block_index, round({terms}, 4) AS score FROM placed, stats WHERE ({hit}) AND {allowed})"
+    return f"WITH {toks}, placed AS (SELECT *, {places} FROM blocks), stats AS (SELECT count(*) AS n, avg(len(toks)) AS avg_len, {stats} FROM placed), scored AS (SELECT doc_key, block_index, round({terms}, 4) AS score FROM placed, stats WHERE ({hit}) AND {allowed})"
 
 
 BEST = ", best AS (SELECT doc_key, block_index, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY score DESC, block_index) AS rn FROM scored) WHERE rn = 1)"
@@ -65,7 +80,7 @@ TOP10 = " SELECT doc_key, block_index, score FROM best ORDER BY score DESC, doc_
 
 
 def _one(*words: str) -> str:
-    return _positions(list(words))
+    return _positions([stem(w) for w in words])
 
 
 def _keyword(name: str, text: str, sql: str) -> None:
@@ -111,11 +126,20 @@ _BATCH_SQL = {
 }
 
 
-@query("kw_batch", " UNION ALL ".join(f"SELECT * FROM ({sql}{BEST} SELECT '{q}' AS query, doc_key, block_index, score, row_number() OVER (ORDER BY score DESC, doc_key)::INTEGER AS rank FROM best) WHERE rank <= 10" for q, sql in _BATCH_SQL.items()))
+_BATCH_ORACLE = " UNION ALL ".join(f"SELECT * FROM ({sql}{BEST} SELECT '{q}' AS query, doc_key, block_index, score, row_number() OVER (ORDER BY score DESC, doc_key)::INTEGER AS rank FROM best) WHERE rank <= 10" for q, sql in _BATCH_SQL.items())
+
+
+@query("kw_batch", _BATCH_ORACLE)
 def kw_batch(spark, sf_dir):
     return search.search_batch(raw_blocks(spark, sf_dir), _BATCH)
 
 
+@query("kw_batch_from_index", _BATCH_ORACLE)
+def kw_batch_from_index(spark, sf_dir):
+    t = search.tokenised(raw_blocks(spark, sf_dir))
+    return search.search_index_batch(index.postings(t), index.block_stats(t), _BATCH)
+
+
 _INDEXED = {"a": _one("of", "the"), "b": _positions(["ther"], True), "c": _one("is")}
 
 
@@ -125,9 +149,20 @@ def kw_from_index(spark, sf_dir):
     return search.search_index(index.postings(t), index.block_stats(t), '("of the" OR ther*) NOT is')
 
 
-@query("kw_stemmed")
-def kw_stemmed(spark, sf_dir):
-    return search.search(raw_blocks(spark, sf_dir), "reading OR connections", stemmed=True)
+_keyword("kw_stemmed", "oning AND eres", _bm25({"a": _one("on"), "b": _one("er")}, "len(a) > 0 AND len(b) > 0") + BEST + TOP10)
+_keyword("kw_folded", "fur OR cion", _bm25({"a": _one("fur"), "b": _one("cion")}, "len(a) > 0 OR len(b) > 0") + BEST + TOP10)
+
+#: Letters of the invented words that become CJK characters, a Traditional one among them.
+_LETTERS, _HAN = "aeios", "書人山日東"
+_SIMPLE = "书人山日东"
+
+
+@query("kw_cjk", _bm25({"a": _one("书"), "b": _one("人")}, "len(list_filter(a, lambda p: len(list_filter(b, lambda q: abs(p - q) <= 2)) > 0)) > 0", tf={x: f"len(list_filter({x}, lambda p: len(list_filter({y}, lambda q: abs(p - q) <= 2)) > 0))" for x, y in (("a", "b"), ("b", "a"))}, toks=LINES + ", " + _stemmed(rf"SELECT doc_key, pos AS block_index, regexp_extract_all(regexp_replace(translate(lower(strip_accents(text)), '{_LETTERS}', '{_SIMPLE}'), '([{_SIMPLE}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+') AS raw FROM lines WHERE trim(text) <> ''")) + BEST + TOP10)
+def kw_cjk(spark, sf_dir):
+    """A run of two characters is a proximity of both; the query is Traditional, so is the text."""
+    b = raw_blocks(spark, sf_dir)
+    plain = F.lower(diacritic_fold(F.col("text")))
+    return search.search(b.withColumn("text", F.translate(plain, _LETTERS, _HAN)), "書人")
 
 
 @query("postings", f"WITH {TOKS}, t AS (SELECT doc_key, block_index, len(toks) AS n_tokens, unnest(toks) AS term FROM blocks) SELECT term, count(DISTINCT (doc_key, block_index)) AS df, count(*) AS cf FROM t GROUP BY term")
@@ -181,6 +216,7 @@ def fulltext(spark, sf_dir):
     return retrieve.fulltext(annotated(spark, sf_dir)).select("doc_key", "markdown")
 
 
+# Fixed value: the boilerplate phrases of functions.heuristics, as SQL.
 _BOILER = "(?i)\\b(to cite (this|the) (article|paper)|please cite|recommended citation|citation\\s*:|downloaded from|all rights reserved|copyright|creative commons|author manuscript|accepted manuscript|published online|supplementary material|supporting information|correspondence (to|should be addressed to)|preprint|this version posted)\\b"
 
 
@@ -213,15 +249,26 @@ def search_passages(spark, sf_dir):
     return search.passages(hits, b, B.rendered(b), "with").select("doc_key", "score", "char_offset", "passage")
 
 
-@query(
-    "search_in_exact",
-    f"WITH {TOKS}, t AS (SELECT doc_key, block_index, unnest(toks) AS w, unnest(range(len(toks))) AS i FROM blocks), o AS (SELECT doc_key, block_index, w, row_number() OVER (PARTITION BY doc_key ORDER BY block_index, i) AS p FROM t), d AS (SELECT doc_key, block_index, dense_rank() OVER (PARTITION BY doc_key ORDER BY block_index) AS k FROM (SELECT DISTINCT doc_key, block_index FROM t)), m AS (SELECT a.doc_key, a.block_index AS block_start, b.block_index AS block_end, d2.k - d1.k AS span, a.p FROM o a JOIN o b ON a.doc_key = b.doc_key AND b.p = a.p + 1 AND b.w = 'the' JOIN d d1 ON d1.doc_key = a.doc_key AND d1.block_index = a.block_index JOIN d d2 ON d2.doc_key = b.doc_key AND d2.block_index = b.block_index WHERE a.w = 'of') SELECT doc_key, block_start, block_end FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY span, p) AS rn FROM m) WHERE rn = 1",
-)
+def _ranges(blocks: str) -> str:
+    """CTEs ending in ranges: the narrowest block range of "of the" in each document."""
+    return (
+        f"t AS (SELECT doc_key, block_index, unnest(toks) AS w, unnest(range(len(toks))) AS i FROM {blocks}), o AS (SELECT doc_key, block_index, w, row_number() OVER (PARTITION BY doc_key ORDER BY block_index, i) AS p FROM t), d AS (SELECT doc_key, block_index, dense_rank() OVER (PARTITION BY doc_key ORDER BY block_index) AS k FROM (SELECT DISTINCT doc_key, block_index FROM t)), "
+        "m AS (SELECT a.doc_key, a.block_index AS block_start, b.block_index AS block_end, d2.k - d1.k AS span, a.p FROM o a JOIN o b ON a.doc_key = b.doc_key AND b.p = a.p + 1 AND b.w = 'the' JOIN d d1 ON d1.doc_key = a.doc_key AND d1.block_index = a.block_index JOIN d d2 ON d2.doc_key = b.doc_key AND d2.block_index = b.block_index WHERE a.w = 'of'), "
+        "ranges AS (SELECT doc_key, block_start, block_end FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY span, p) AS rn FROM m) WHERE rn = 1)"
+    )
+
+
+@query("search_in_exact", f"WITH {EXACT_TOKS}, {_ranges('blocks')} SELECT doc_key, block_start, block_end FROM ranges")
 def search_in_exact(spark, sf_dir):
     return search.exact_ranges(raw_blocks(spark, sf_dir), "of the").select("doc_key", "block_start", "block_end")
 
 
-@query("search_in")
+@query(
+    "search_in",
+    _bm25({"a": _one("of", "the")}, "len(a) > 0")
+    + rf", plain AS (SELECT doc_key, pos AS block_index, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS toks FROM lines WHERE trim(text) <> ''), {_ranges('plain')}, hits AS (SELECT doc_key, block_index, score, block_index AS block_end FROM scored UNION ALL SELECT doc_key, block_start, 100.0 - (block_end - block_start), block_end FROM ranges) "
+    "SELECT doc_key, block_index, score, block_end FROM (SELECT *, row_number() OVER (PARTITION BY doc_key, block_index ORDER BY score DESC, block_end) AS rn FROM hits) WHERE rn = 1 ORDER BY score DESC, doc_key, block_index LIMIT 50",
+)
 def search_in(spark, sf_dir):
     return search.search_in(raw_blocks(spark, sf_dir), '"of the"', limit=50)
 
@@ -255,27 +302,25 @@ def diagnose_rows(spark, sf_dir):
 @query("diagnose_summary", f"WITH {_DIAG} SELECT (SELECT count(*) FROM r) AS scanned, (SELECT count(*) FROM r WHERE status = 'suspicious') AS suspicious, (SELECT count(*) FROM r WHERE status = 'borderline') AS borderline, (SELECT count(*) FROM r WHERE status = 'ok') AS ok, (SELECT count(DISTINCT doc_id) FROM documents) - (SELECT count(*) FROM r) AS skipped")
 def diagnose_summary(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"))
-    b = raw_blocks(spark, sf_dir)
-    s = diagnose.statistics(b, 120.0, 90.0)
-    counts = s.agg(F.count("*").alias("scanned"), *[F.count_if(F.col("status") == x).alias(x) for x in ("suspicious", "borderline", "ok")])
-    return counts.join(docs.agg(F.count_distinct("doc_key").alias("d"))).select("scanned", "suspicious", "borderline", "ok", (F.col("d") - F.col("scanned")).alias("skipped"))
+    return diagnose.summary(raw_blocks(spark, sf_dir), docs, t_mean=120.0, t_median=90.0)
 
 
-def bibliography(spark: SparkSession, sf_dir: str, abstract: Column | None = None) -> DataFrame:
+def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record a document: its first line the title, its whole text the abstract."""
     docs = read(spark, sf_dir, "documents")
     return docs.select(
         F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("item_key"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.array("source", F.concat_ws(" ", "lang", "source")).alias("author_search_texts"),
         (F.lit(1950) + F.pmod("doc_id", F.lit(70))).cast("string").alias("year"),
-        (F.substring("text", 1, 300) if abstract is None else abstract).alias("abstract"),
+        F.col("text").alias("abstract"),
         F.lit(None).cast("string").alias("journal"),
         F.col("lang").alias("publisher"),
         (F.pmod("doc_id", F.lit(3)) > 0).alias("has_supported_file"),
     )
 
 
-_BIB = "bib AS (SELECT lpad(doc_id::VARCHAR, 8, '0') AS item_key, string_split(text, chr(10))[1] AS title, source, lang, (1950 + doc_id % 70)::VARCHAR AS year, substring(text, 1, 300) AS abstract, doc_id % 3 > 0 AS has_supported_file FROM documents), n AS (SELECT *, trim(regexp_replace(lower(title), '[^\\pL\\pN]+', ' ', 'g')) AS nt, trim(regexp_replace(lower(abstract), '[^\\pL\\pN]+', ' ', 'g')) AS na, source || '|' || lang || ' ' || source AS au FROM bib)"
+_BIB = "bib AS (SELECT lpad(doc_id::VARCHAR, 8, '0') AS item_key, string_split(text, chr(10))[1] AS title, source, lang, (1950 + doc_id % 70)::VARCHAR AS year, text AS abstract, doc_id % 3 > 0 AS has_supported_file FROM documents), n AS (SELECT *, trim(regexp_replace(lower(title), '[^\\pL\\pN]+', ' ', 'g')) AS nt, trim(regexp_replace(lower(abstract), '[^\\pL\\pN]+', ' ', 'g')) AS na, source || '|' || lang || ' ' || source AS au FROM bib)"
 
 
 @query("metadata_search", f"WITH {_BIB}, m AS (SELECT *, contains(nt, 'that the') AS mt, contains(na, 'that the') AS ma FROM n) SELECT item_key, (CASE WHEN mt THEN 6 ELSE 0 END + CASE WHEN ma THEN 3 ELSE 0 END)::BIGINT AS score, concat_ws(',', CASE WHEN mt THEN 'title' END, CASE WHEN ma THEN 'abstract' END) AS matched_fields, has_supported_file FROM m WHERE mt OR ma")
@@ -283,15 +328,6 @@ def metadata_search(spark, sf_dir):
     return metadata.search_metadata(bibliography(spark, sf_dir), "that the", limit=None).drop("title")
 
 
-_WHOLE = "n AS (SELECT *, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^\\pL\\pN]+', ' ', 'g')) AS nt, trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')) AS na FROM documents)"
-
-
-@query("metadata_search_whole", f"WITH {_WHOLE}, m AS (SELECT *, contains(nt, 'that the') AS mt, contains(na, 'that the') AS ma FROM n) SELECT lpad(doc_id::VARCHAR, 8, '0') AS item_key, (CASE WHEN mt THEN 6 ELSE 0 END + CASE WHEN ma THEN 3 ELSE 0 END)::BIGINT AS score, concat_ws(',', CASE WHEN mt THEN 'title' END, CASE WHEN ma THEN 'abstract' END) AS matched_fields, doc_id % 3 > 0 AS has_supported_file FROM m WHERE mt OR ma")
-def metadata_search_whole(spark, sf_dir):
-    """As metadata_search, whose SQL takes 300 characters for the abstract; here it is the whole text."""
-    return metadata.search_metadata(bibliography(spark, sf_dir, F.col("text")), "that the", limit=None).drop("title")
-
-
 @query("metadata_filters", f"WITH {_BIB} SELECT item_key, 6::BIGINT AS score, 'author,year' AS matched_fields FROM n WHERE contains(au, 'src1') AND contains(year, '198') AND has_supported_file")
 def metadata_filters(spark, sf_dir):
     return metadata.search_metadata(bibliography(spark, sf_dir), filters={"author": "src1", "year": "198"}, has_file=True, limit=None).select("item_key", "score", "matched_fields")
@@ -429,12 +465,32 @@ def orphan_cleanup(spark, sf_dir):
     return vectors.without_orphans(docs, content, vecs)[2].select("vec_id")
 
 
-_TARGET = [round(((i * 37) % 64 - 32) / 32, 4) for i in range(64)]
+@query("vector_topk", "SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id)::INTEGER AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 20")
+def vector_topk(spark, sf_dir):
+    """Every row whose id is divisible by 100 asks for its nearest among all rows."""
+    rows = read(spark, sf_dir, "embeddings")
+    targets = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("target"))
+    return vectors.top_k_batch(rows, "vec_id", "embedding", targets, 20)
+
 
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as those of chunks of 300 characters, four a document."""
+    rows = read(spark, sf_dir, "embeddings")
+    seq = F.pmod("vec_id", F.lit(4))
+    return rows.select((F.col("vec_id") / 4).cast("long").alias("doc_key"), seq.alias("seq"), (300 * seq).alias("pos"), F.lit(300).alias("len"), "embedding")
 
-@query("vector_topk", f"SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], {_TARGET}::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({_TARGET}::DOUBLE[], {_TARGET}::DOUBLE[]))), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
-def vector_topk(spark, sf_dir):
-    return vectors.top_k(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", _TARGET, 20)
+
+@query(
+    "semantic_passages",
+    f"WITH {BLOCKS}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id // 4 AS doc_key, vec_id % 4 AS seq, 300 * (vec_id % 4) AS pos, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score FROM embeddings e, q), "
+    "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY score DESC, seq) AS rn FROM v WHERE doc_key IN (SELECT doc_key FROM blk)) WHERE rn = 1 ORDER BY score DESC, doc_key LIMIT 10), md AS (SELECT doc_key, string_agg(text, chr(10) || chr(10) ORDER BY block_index) AS m FROM blk WHERE doc_key IN (SELECT doc_key FROM best) GROUP BY doc_key), "
+    "near AS (SELECT best.doc_key, min(block_index) FILTER (char_start < pos + 300 AND pos < char_end) AS f, max(block_index) FILTER (char_start < pos + 300 AND pos < char_end) AS l, arg_min(block_index, greatest(char_start - pos, pos - char_end, 0) * 1000000 + block_index) AS n FROM best JOIN blk ON best.doc_key = blk.doc_key GROUP BY best.doc_key) "
+    "SELECT best.doc_key, score, coalesce(f, n)::INTEGER AS block_start, coalesce(l, n)::INTEGER AS block_end, pos + 150 AS char_offset, CASE WHEN pos - 100 > 0 THEN '…' ELSE '' END || trim(regexp_replace(regexp_replace(substring(m, greatest(0, pos - 100) + 1, greatest(0, least(length(m), pos + 400) - greatest(0, pos - 100))), '\\s*\\n+\\s*', ' ', 'g'), '[ \\t][ \\t]+', ' ', 'g')) || CASE WHEN pos + 400 < length(m) THEN '…' ELSE '' END AS passage FROM best JOIN md ON md.doc_key = best.doc_key JOIN near ON near.doc_key = best.doc_key",
+)
+def semantic_passages(spark, sf_dir):
+    target = read(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
+    b = annotated(spark, sf_dir)
+    return semantic.search(chunk_vectors(spark, sf_dir), b, B.rendered(b), target, 10)
 
 
 @query(
@@ -448,9 +504,17 @@ def chunk_to_blocks(spark, sf_dir):
     return vectors.chunk_ranges(chunks, b)
 
 
-@query("recent_items", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+@query("recent_items", "SELECT printf('%08d', doc_id) AS item_key, source AS title, lang || ' ' || source AS authors, (1950 + doc_id % 70)::VARCHAR AS year, CASE doc_id % 5 WHEN 0 THEN 'book' WHEN 2 THEN 'thesis' WHEN 4 THEN 'webpage' END AS type FROM documents WHERE doc_id % 5 NOT IN (1, 3) ORDER BY doc_id * 7919 % 100003 DESC, doc_id LIMIT 100")
 def recent_items(spark, sf_dir):
-    return read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "o_orderdate")
+    """Library items made of documents; notes and attachments among them do not count."""
+    k = F.pmod("doc_id", F.lit(5))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("book", "note", "thesis", "attachment", "webpage")]), (k + 1).cast("int"))
+    creator = F.struct(F.lit(None).cast("string").alias("name"), F.col("lang").alias("firstName"), F.col("source").alias("lastName"))
+    when = F.lpad(F.pmod(F.col("doc_id") * 7919, F.lit(100003)).cast("string"), 6, "0")
+    year = (F.lit(1950) + F.pmod("doc_id", F.lit(70))).cast("string")
+    data = F.struct(F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("key"), F.col("source").alias("title"), F.array(creator).alias("creators"), F.concat(F.lit("c. "), year).alias("date"), kind.alias("itemType"), when.alias("dateAdded"), when.alias("dateModified"))
+    items = read(spark, sf_dir, "documents").select(data.alias("data"), F.struct(F.lit(None).cast("string").alias("parsedDate")).alias("meta"))
+    return papers.newest(items, 100).select("item_key", "title", F.array_join("authors", ";").alias("authors"), "year", "type")
 
 
 @query("key_conflicts", "SELECT source AS citation_key, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS item_key, string_agg(DISTINCT lang, ',' ORDER BY lang) AS item_keys FROM documents GROUP BY source")
@@ -458,9 +522,10 @@ def key_conflicts(spark, sf_dir):
     return sync.key_conflicts(read(spark, sf_dir, "documents").select(F.col("source").alias("citation_key"), F.col("lang").alias("item_key")))
 
 
-@query("distinct_segments", "SELECT event_type, count(DISTINCT user_id) AS segments FROM events GROUP BY event_type")
+@query("distinct_segments", "SELECT label AS model, count(DISTINCT (vec_id // 3, vec_id % 2)) AS segments FROM embeddings GROUP BY label")
 def distinct_segments(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("segments"))
+    v = read(spark, sf_dir, "embeddings").select((F.col("vec_id") / 3).cast("long").alias("hash"), F.pmod("vec_id", F.lit(2)).alias("seq"), F.col("label").alias("model"))
+    return vectors.distinct_segments(v, "model")
 
 
 @query("html_blocks")
@@ -478,9 +543,16 @@ def file_types(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", file_type(F.col("url")).alias("kind"))
 
 
-@query("doc_keys", "SELECT page_id, sha1(url) AS doc_key FROM pages")
+@query("doc_keys", "WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'sub/' ELSE '' END || 'f' || page_id || CASE WHEN page_id % 2 = 0 THEN '.pdf' ELSE '.odd' END AS f FROM pages WHERE page_id % 7 <> 0) SELECT page_id, sha1(f) AS doc_key, f AS file_path, CASE WHEN page_id % 2 = 0 THEN 'pdf' ELSE 'other' END AS file_ext, page_id % 2 = 0 AS supported FROM p")
 def doc_keys(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.sha1(F.col("url").cast("binary")).alias("doc_key"))
+    """Files of a bibliography: every seventh lies outside the root, and each is named twice."""
+    from .sources.bibliography import attachments as files_of
+
+    n = F.col("page_id")
+    path = F.concat(F.when(n % 7 == 0, "/elsewhere/").otherwise("/root/lib/"), F.when(n % 3 == 0, "sub/").otherwise(""), F.lit("f"), n.cast("string"), F.when(n % 2 == 0, ".pdf").otherwise(".odd"))
+    none = F.lit(None).cast("string")
+    records = read(spark, sf_dir, "pages").select(n.cast("string").alias("item_key"), none.alias("citation_key"), none.alias("title"), F.array().cast("array<string>").alias("authors"), none.alias("year"), none.alias("abstract"), none.alias("type"), F.array(path, path).alias("attachment_paths"))
+    return files_of(records, "/root/lib").select(F.col("item_key").cast("long").alias("page_id"), "doc_key", "file_path", "file_ext", "supported")
 
 
 @query("short_titles", "WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || ': ' || lang WHEN doc_id % 3 = 1 THEN source || '-' || lang ELSE source || ' - ' || lang END AS t FROM documents) SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN NULL ELSE source END AS short FROM t JOIN documents USING (doc_id)")

@@ -12,24 +12,22 @@ from pyspark.sql import functions as F
 from ..operators import blocks, index, search
 
 
-def posts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    rows = blocks.lines_as_elements(docs, key, text).withColumnRenamed("pos", "block_index")
-    return index.postings(search.tokenised(rows))
+def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return search.tokenised(blocks.lines_as_elements(docs, key, text).withColumnRenamed("pos", "block_index"))
 
 
-def apply_batch(snapshot: index.Snapshot, docs: DataFrame) -> None:
-    """Documents of the batch are changed ones: old postings go, new ones come; the pointer is flipped last."""
-    docs = docs.withColumnRenamed("doc_id", "doc_key").dropDuplicates(["doc_key"])
-    new, old = posts_of(docs, "doc_key"), snapshot.read()
-    if old is None:
-        snapshot.publish(new, "bucket")
-        return
-    changes = docs.select("doc_key", F.lit("changed").alias("state"))
-    snapshot.publish(index.updated(old, new, changes), "bucket")
+def apply_batch(stored: index.KeywordIndex, docs: DataFrame) -> None:
+    """Documents of the batch are changed ones: old rows go, new ones come, and only their buckets are rewritten. The
+    batch is tokenised once."""
+    docs = docs.withColumnRenamed("doc_id", "doc_key").dropDuplicates(["doc_key"]).persist()
+    try:
+        stored.apply(tokenised(docs, "doc_key"), docs.select("doc_key", F.lit("changed").alias("state")))
+    finally:
+        docs.unpersist()
 
 
 def start(spark: SparkSession, source: str, schema: str, root: str, checkpoint: str):
     """A running query over Parquet files of documents that appear below `source`."""
-    snapshot = index.Snapshot(spark, root)
+    stored = index.KeywordIndex(spark, root)
     stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(lambda df, _: apply_batch(snapshot, df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda df, _: apply_batch(stored, df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
