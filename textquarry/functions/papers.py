@@ -55,6 +55,24 @@ def paper_type(types: Column, journal: Column) -> Column:
     return out
 
 
+def paper_item(raw: dict) -> dict:
+    """An outside paper as the input of an item (see functions.lenient); for one object on the driver."""
+    given = [str(t).lower() for t in raw.get("publicationTypes") or []]
+    journal = ((raw.get("journal") or {}).get("name") or "").strip()
+    kind = next((k for names, k in PAPER_TYPES if set(names) & set(given) or (k == "journalArticle" and journal)), "journalArticle")
+    fields = {
+        "itemType": kind,
+        "title": raw.get("title"),
+        "authors": [a.get("name") for a in raw.get("authors") or [] if isinstance(a, dict) and a.get("name")],
+        "date": raw.get("publicationDate") or (str(raw["year"]) if raw.get("year") else None),
+        "DOI": (raw.get("externalIds") or {}).get("DOI"),
+        "publicationTitle": journal or raw.get("venue"),
+        "url": raw.get("url"),
+        "abstract": raw.get("abstract"),
+    }
+    return {k: v for k, v in fields.items() if v}
+
+
 def manual_type(item_type: Column, url: Column, publication: Column) -> Column:
     given = lambda c: F.coalesce(c, F.lit("")) != ""
     return F.when(given(item_type), item_type).when(given(url) & ~given(publication), "webpage").otherwise("journalArticle")

@@ -24,6 +24,16 @@ def fulltext(blocks: DataFrame, normalized: DataFrame | None = None) -> DataFram
     return out.select("doc_key", F.coalesce("stored", "markdown").alias("markdown"), F.when(F.col("stored").isNotNull(), "stored").otherwise("blocks").alias("origin"))
 
 
+def item_text(texts: DataFrame, files: DataFrame) -> DataFrame:
+    """item_key, markdown, origin: the texts of an item's attachments in file order, from the second on below a heading
+    with the file's name. texts: doc_key, markdown, origin; files: doc_key, item_key, file_path."""
+    turn = F.row_number().over(Window.partitionBy("item_key").orderBy(F.collate("file_path", "UNICODE"), "doc_key"))
+    rows = texts.join(files.select("doc_key", "item_key", "file_path"), "doc_key").withColumn("turn", turn)
+    headed = F.when(F.col("turn") > 1, F.concat(F.lit("# Attachment: "), F.substring_index("file_path", "/", -1), F.lit("\n\n"), F.col("markdown"))).otherwise(F.col("markdown"))
+    each = F.array_sort(F.collect_list(F.struct("turn", headed.alias("text"))))
+    return rows.groupBy("item_key").agg(F.array_join(F.transform(each, lambda x: x["text"]), "\n\n").alias("markdown"), F.when(F.min("origin") == F.max("origin"), F.min("origin")).otherwise("mixed").alias("origin"))
+
+
 def clean_blocks(blocks: DataFrame) -> DataFrame:
     """blocks with drop: boilerplate, duplicate (same type and text as an earlier block, headings exempt) or null.
     Lines of a table of contents count as boilerplate only near the start: max(8, min(30, 15 % of the blocks))."""
@@ -52,11 +62,14 @@ def clean_fulltext(blocks: DataFrame) -> DataFrame:
 
 
 def expand(markdown: DataFrame, blocks: DataFrame, offset: int, radius: int = 1000) -> DataFrame:
-    """doc_key, begin, end, slice, first_block, last_block: what lies around an offset, and the blocks it touches."""
+    """doc_key, begin, end, slice, first_block, last_block: what lies around an offset, and the blocks it touches;
+    first_page and last_page where the blocks have pages."""
     size = F.length("markdown")
     center = F.least(size, F.greatest(F.lit(0), F.lit(offset)))
     cut = markdown.withColumn("begin", F.greatest(F.lit(0), center - radius)).withColumn("end", F.least(size, center + radius))
     cut = cut.select("doc_key", "begin", "end", F.substring("markdown", (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int")).alias("slice"))
-    touched = blocks.select("doc_key", "block_index", "char_start", "char_end").join(cut.select("doc_key", "begin", "end"), "doc_key").where("char_start < end and begin < char_end")
-    ends = touched.groupBy("doc_key").agg(F.min("block_index").alias("first_block"), F.max("block_index").alias("last_block"))
+    pages = [c for c in ("page_start", "page_end") if c in blocks.columns]
+    touched = blocks.select("doc_key", "block_index", "char_start", "char_end", *pages).join(cut.select("doc_key", "begin", "end"), "doc_key").where("char_start < end and begin < char_end")
+    bounds = [F.min("page_start").alias("first_page")] * ("page_start" in pages) + [F.max("page_end").alias("last_page")] * ("page_end" in pages)
+    ends = touched.groupBy("doc_key").agg(F.min("block_index").alias("first_block"), F.max("block_index").alias("last_block"), *bounds)
     return cut.join(ends, "doc_key", "left")

@@ -15,6 +15,7 @@ from .functions.porter import stem
 from .functions.porter_sql import stem_steps
 from .functions.text import diacritic_fold, words_only
 from .operators import blocks as B
+from .operators import run as run_plan
 from .operators import diagnose, index, metadata, retrieve, search, semantic, sync, vectors
 from .registry import query
 from .sources.scan import spread
@@ -401,6 +402,23 @@ def snapshot_diff(spark, sf_dir):
     return sync.unchanged(*snapshots(spark, sf_dir))
 
 
+@query(
+    "sync_run",
+    f"WITH {_SNAP} SELECT CASE WHEN k = 2 THEN sha1(key0 || '-new') ELSE key0 END AS doc_key, CASE WHEN k = 2 THEN 'adopt-then-extract' WHEN k = 4 THEN 'skip-unchanged-error' WHEN k IN (3, 5) OR doc_id % 11 = 0 THEN 'extract' ELSE 'reuse' END AS action, CASE WHEN k NOT IN (2, 3, 4, 5) AND doc_id % 11 <> 0 THEN TRUE END AS carry FROM base WHERE k <> 1 "
+    "UNION ALL SELECT key0, 'sweep', NULL FROM base WHERE k IN (1, 2) AND doc_id % 11 <> 0",
+)
+def sync_run(spark, sf_dir):
+    """The outcomes of a whole run's plan, and the artifacts it sweeps; every eleventh document has lost its artifact."""
+    previous, next_ = snapshots(spark, sf_dir)
+    files = next_.select("doc_key", "item_key", F.lit("txt").alias("file_ext"), F.lit(True).alias("supported"), F.lit(True).alias("file_exists"), "size", "mtime_ms")
+    yes = F.lit(True)
+    stored = previous.where("extract_status = 'ready' and mtime_ms % 11 <> 0")
+    artifacts = stored.select("doc_key", *[yes.alias(c) for c in ("manifest_exists", "normalized_exists", "manifest_readable", "identity_matches", "vertical_matches")], F.lit(False).alias("normalized_empty"), F.lit(1).alias("n_blocks"))
+    p = run_plan.plan(previous.withColumn("error", F.lit(None).cast("string")), files, artifacts, completed=True)
+    swept = p.sweep.where("kind = 'orphan'").select("doc_key", F.lit("sweep").alias("action"), F.lit(None).cast("boolean").alias("carry"))
+    return p.outcomes.select("doc_key", "action", "carry").unionByName(swept)
+
+
 @query("changed_ready", f"WITH {_SNAP} SELECT doc_key FROM prev WHERE extract_status = 'ready' AND doc_key NOT IN (SELECT doc_key FROM nxt WHERE extract_status = 'ready')")
 def changed_ready(spark, sf_dir):
     return sync.dropped_ready(*snapshots(spark, sf_dir))

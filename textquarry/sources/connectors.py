@@ -29,6 +29,14 @@ class ItemSource(Protocol):
     def recent(self, start: int, size: int, order: str) -> list[dict]: ...
 
 
+class PaperSource(Protocol):
+    """Papers of an outside service, as the objects it returns."""
+
+    def search(self, query: str, limit: int) -> list[dict]: ...
+
+    def get(self, paper_id: str) -> dict | None: ...
+
+
 class ItemSink(Protocol):
     def create(self, payload: dict) -> str: ...
 
