@@ -1,7 +1,9 @@
 """A corpus pipeline of five training-data operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's docs. All stages but the last return the columns of documents.
+again as the next stage's docs. All stages but the last return the columns of documents, with any further columns
+that docs has, whatever their names. An empty table stays empty through all of them, long texts count whole, and
+repeated rows are rows: each is judged alike.
 """
 
 from __future__ import annotations
@@ -16,27 +18,30 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null and empty texts are scored as texts without words;
+    nothing goes where no label can be learned from."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one of the smallest id. Null and empty texts are in no
+    group and stay, rows without an id too; equal rows of one id all stay."""
     return near_dedup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two or more benchmark items go; others lose the words of the windows they hold."""
+    """Documents with windows of two or more benchmark items go; others lose the words of the windows they hold. Null and
+    empty texts hold none and stay as they are."""
     return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stands as often as the mix takes it."""
+    """Every document stands as often as the mix takes it: texts without words never, a null source is a source."""
     return mixing.take_copies(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files, read back: a row a copy."""
+    """The token files, read back: a row a copy, in ascending order of ids (null first, equal ids by text)."""
     return dac.token_output(docs, public_tokenizers.path(TOKENIZER))
 
 
