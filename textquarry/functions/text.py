@@ -9,11 +9,12 @@ import functools
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .han import simplified_map
+from .rows import once  # noqa: F401  its callers know it here
 
 SPACE = r"[\s\p{Z}\x{FEFF}]"
 CJK = r"[\p{script=Han}\p{script=Hiragana}\p{script=Katakana}\p{script=Hangul}]"
@@ -99,12 +100,6 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(diacritic_fold(apart)), F.lit(WORD), F.lit(0))
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with further columns that later filters and projections read but never evaluate again: a generator of
-    one row stands between, through which the optimizer neither pushes nor inlines."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def occurrences(c: Column, literal: str) -> Column:
     """How often a literal occurs, overlaps included."""
     return F.regexp_count(c, F.lit(f"(?=\\Q{literal}\\E)")) if literal else F.lit(0)
