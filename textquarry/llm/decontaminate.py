@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import once
+from ..functions.rows import once
 from .common import ITEM_WORD, few, lower_ascii, materialize
 from .windows import begins, covered, window_hash, word_hashes
 

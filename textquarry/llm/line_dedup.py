@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import once
+from ..functions.rows import once
 from .common import few, map_arrow, materialize, scratch_path
 from .words import LOWER_BYTES, texts
 

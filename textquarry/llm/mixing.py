@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import once
+from ..functions.rows import once
 from .common import SPACE_WORD, few, materialize
 
 #: Weights of the sources in order, repeating.

@@ -38,7 +38,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -188,7 +187,7 @@ def _pivot_links(members: DataFrame, sets: DataFrame, chunk: int, rounds: int) -
             break
         asked = placed.select("chunk", "home").distinct().join(pivots, "home").select("chunk", "key", F.lit(True).alias("is_pivot"))
         rows = placed.select("chunk", "key", F.lit(False).alias("is_pivot")).unionByName(asked).join(sets, "key")
-        found = materialize(rows.groupBy("chunk").applyInPandas(_against_pivot, "a binary, b binary"), "pivot-links")
+        found = materialize(rows.groupBy("chunk").applyInArrow(_against_pivot, "a binary, b binary"), "pivot-links")
         links.append(found)
         chosen = pivots.select("key", F.lit(True).alias("chosen"))
         near = found.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("met", F.lit(True))
@@ -202,14 +201,17 @@ def _pivot_links(members: DataFrame, sets: DataFrame, chunk: int, rounds: int) -
     return members, links
 
 
-def _against_pivot(rows: pd.DataFrame) -> pd.DataFrame:
+def _pairs(links: list[tuple[bytes, bytes]]) -> pa.Table:
+    return pa.table({"a": pa.array([min(x) for x in links], pa.binary()), "b": pa.array([max(x) for x in links], pa.binary())})
+
+
+def _against_pivot(rows: pa.Table) -> pa.Table:
     """Links of a chunk's classes with the pivot."""
-    pivots = rows[rows["is_pivot"]].drop_duplicates("key")
-    out = []
-    for key, packed in zip(pivots["key"], pivots["items"], strict=True):
-        mine = _unpack(packed)
-        out += [(min(key, k), max(key, k)) for k, x in zip(rows["key"], rows["items"], strict=True) if k != key and _linked(mine, _unpack(x))]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype=object)
+    keys, items, is_pivot = (rows[c].to_pylist() for c in ("key", "items", "is_pivot"))
+    pivots, links = {k: _unpack(x) for k, x, p in zip(keys, items, is_pivot, strict=True) if p}, []
+    for key, mine in pivots.items():
+        links += [(key, k) for k, x, p in zip(keys, items, is_pivot, strict=True) if not p and k != key and _linked(mine, _unpack(x))]
+    return _pairs(links)
 
 
 def long_links(lists: DataFrame, sets: DataFrame, short: int = SHORT, chunk: int = CHUNK_SHINGLES, rounds: int = PIVOT_ROUNDS) -> DataFrame:
@@ -226,14 +228,14 @@ def long_links(lists: DataFrame, sets: DataFrame, short: int = SHORT, chunk: int
     tasks = met.withColumnRenamed("chunk", "c1").join(other, "value").where("c1 <= c2 and not coalesce(done = d2, false)").select("c1", "c2").distinct()
     sides = tasks.select("c1", "c2", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("chunk"))
     rows = sides.join(placed.select("key", "chunk"), "chunk").join(sets, "key").select("c1", "c2", "chunk", "key", "items")
-    return reduce(DataFrame.unionByName, [*links, rows.groupBy("c1", "c2").applyInPandas(_compare_chunks, "a binary, b binary")])
+    return reduce(DataFrame.unionByName, [*links, rows.groupBy("c1", "c2").applyInArrow(_compare_chunks, "a binary, b binary")])
 
 
-def _compare_chunks(rows: pd.DataFrame) -> pd.DataFrame:
+def _compare_chunks(rows: pa.Table) -> pa.Table:
     """Links across two chunks (or within one) by counting common hashes through one chunk's postings."""
-    rows = rows.sort_values("key", ignore_index=True)
-    keys, chunk, of = rows["key"].to_list(), rows["chunk"].to_numpy(), [_unpack(x) for x in rows["items"]]
-    first, second = np.flatnonzero(chunk == rows["c1"].iloc[0]), np.flatnonzero(chunk == rows["c2"].iloc[0])
+    rows = rows.sort_by("key")
+    keys, chunk, of = rows["key"].to_pylist(), rows["chunk"].to_numpy(), [_unpack(x) for x in rows["items"].to_pylist()]
+    first, second = np.flatnonzero(chunk == rows["c1"][0].as_py()), np.flatnonzero(chunk == rows["c2"][0].as_py())
     sizes, parent = np.array([len(x) for x in of]), np.arange(len(of))
     hashes, owner = np.concatenate([of[i] for i in first] or [np.zeros(0, "<u8")]), np.repeat(first, sizes[first])
     order = np.argsort(hashes, kind="stable")
@@ -255,7 +257,7 @@ def _compare_chunks(rows: pd.DataFrame) -> pd.DataFrame:
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 links.append((keys[i], keys[j]))
-    return pd.DataFrame([(min(x), max(x)) for x in links], columns=["a", "b"], dtype=object)
+    return _pairs(links)
 
 
 def components(links: DataFrame) -> DataFrame:

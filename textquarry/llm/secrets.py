@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import once
+from ..functions.rows import once
 
 #: The kinds in the order in which equal starts are listed, their patterns (letters of the
 #: assignment's keyword in either case), and how long the group named must be.

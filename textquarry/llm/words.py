@@ -20,7 +20,7 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, kept between documents; emptied when it holds too many words."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
