@@ -48,10 +48,11 @@ def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def bit_set(windows: DataFrame, count: int, bits_each: int = BITS_EACH) -> np.ndarray:
-    """64-bit words of a set of hashes; its size is a power of two, so the low bits of a hash are its place. The
-    words are put together on the executors."""
+    """64-bit words of a set of hashes, each at two places; the set's size is a power of two, so places are bits of the
+    hash. The words are put together on the executors."""
     bits = 1 << max(10, (bits_each * count - 1).bit_length())
-    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    place = F.col("place")
+    windows = windows.select(F.explode(F.array(*places(F.col("hash"), bits))).alias("place"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
     found = windows.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(one).alias("word")).toArrow()
     words = np.zeros(bits // 64, dtype=np.int64)
@@ -59,6 +60,11 @@ def bit_set(windows: DataFrame, count: int, bits_each: int = BITS_EACH) -> np.nd
     return words
 
 
+def places(hash_: Column, bits: int) -> list[Column]:
+    """A hash's two places in a set of so many bits."""
+    return [hash_.bitwiseAND(F.lit(bits - 1)), F.shiftright(hash_, 20).bitwiseAND(F.lit(bits - 1))]
+
+
 def deal(hash_: Column, passes: int) -> Column:
     """The pass of a window: of high bits, as the low ones are its place in the bit set."""
     return F.pmod(F.shiftright(hash_, 40), F.lit(passes))
@@ -94,10 +100,13 @@ def _candidates(gate: np.ndarray, lengths: list[int], turn: int, passes: int) ->
     """Structs (begin, end, hash, win) of the windows, of any of the lengths, that the pass's bit set lets through."""
     bits, words = 64 * len(gate), F.lit(gate)
 
-    def let_through(hash_: Column) -> Column:
-        at = hash_.bitwiseAND(F.lit(bits - 1))
+    def is_set(at: Column) -> Column:
         word = F.get(words, F.shiftright(at, 6).cast("int"))
-        hit = F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    def let_through(hash_: Column) -> Column:
+        first, second = places(hash_, bits)
+        hit = is_set(first) & is_set(second)
         return hit if passes == 1 else (deal(hash_, passes) == turn) & hit
 
     def of_length(k: int) -> Column:
