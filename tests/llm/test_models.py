@@ -415,3 +415,24 @@ def test_pipeline(spark):
     assert [(r[0], r[2], r[3]) for r in got] == [(r.doc_id, len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for r, x in zip(rows, ids, strict=True)]
     final = P.run(spark, SF)
     assert sorted(map(tuple, final.collect())) == sorted(got)
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through every stage; so does no row."""
+    import corpus_pipeline as P
+
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, fx.texts()[9]), (2, None)], "item_id long, text string")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = fx.table(spark).withColumn("rate", F.lit(1)).withColumn("copies", F.lit("x")).withColumn("gone_id", F.lit(2)).withColumn("place", F.lit(0.5))
+    for docs in (extra, extra.where("false")):
+        for k, (name, stage) in enumerate(P.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if k + 1 < len(P.STAGES):
+                assert out.columns == docs.columns, name
+            rows = out.count()
+            assert (rows > 0) == (docs is extra), name
+    kept = P.STAGES[1][1](spark, extra, str(tmp_path))
+    assert kept.where("text is null").count() == extra.where("text is null").count()
+    assert kept.where("doc_id is null").count() == 1
