@@ -16,6 +16,7 @@ commits them and any store Spark can reach can hold them.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ MAGIC = b"DAC1"
 BLOCK = 512
 END_ID = 1
 #: A shard is closed once it holds so many ids; a longer document still goes into one shard.
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 250_000
 
 
 def encode_shard(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -123,7 +124,7 @@ class PieceCache(dict):
     their lower-case bytes go straight to the model.
     """
 
-    LIMIT = 600_000
+    LIMIT, WORDS = 200_000, 100_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -170,7 +171,7 @@ class PieceCache(dict):
     def word(self, word: str) -> bytes:
         value = self.words.get(word)
         if value is None:
-            if len(self.words) >= self.LIMIT:
+            if len(self.words) >= self.WORDS:
                 self.words.clear()
             value = self.words[word] = self.by_bytes(word)
         return value
@@ -181,6 +182,12 @@ class PieceCache(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@functools.lru_cache(maxsize=1)
+def piece_cache(path: str) -> PieceCache:
+    """One cache a worker process, kept from task to task."""
+    return PieceCache(path)
+
+
 def _byte_chars() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself, or the next free code from 256."""
     kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -201,7 +208,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, end = PieceCache(tokenizer_path), TaskContext.get().partitionId(), np.uint32(end_id).tobytes()
+        cache, part, end = piece_cache(tokenizer_path), TaskContext.get().partitionId(), np.uint32(end_id).tobytes()
         seq = before = size = 0
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
