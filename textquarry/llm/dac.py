@@ -124,7 +124,7 @@ class PieceCache(dict):
     their lower-case bytes go straight to the model.
     """
 
-    LIMIT, WORDS = 200_000, 100_000
+    LIMIT, WORDS = 600_000, 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
