@@ -210,6 +210,20 @@ def test_quantiles_of_sketches_are_close(spark):
     assert abs(got.limit - quality_rules.SLACK["word_length"] - 3750) < 0.03 * 3750 and got.docs == 5000
 
 
+def test_limits_of_groups_move_smoothly_to_their_own(spark):
+    groups, words = {"a": 1, "b": 49, "c": 50, "d": 5_000, None: 300}, {"a": 4.0, "b": 9.0, "c": 9.0, "d": 5.0, None: 7.0}
+    rows = [(g, None, *[words[g]] * len(quality_rules.SLACK)) for g, n in groups.items() for _ in range(n)]
+    measured = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{m} double" for m in quality_rules.SLACK))
+    sketch = quality_rules.sketches(measured)
+    own = {(r.lang, r.measure): r.limit for r in quality_rules.limits(sketch, ["lang", "source"]).collect()}
+    whole = {r.measure: r.limit for r in quality_rules.limits(sketch, []).collect()}
+    got = {(r.lang, r.measure): r.limit for r in quality_rules.group_limits(sketch).collect()}
+    m = quality_rules.PRIOR_DOCS
+    assert got == {(g, k): pytest.approx((groups[g] * own[g, k] + m * whole[k]) / (groups[g] + m)) for g, k in own}
+    # One document more or less makes no jump.
+    assert all(abs(got["b", k] - got["c", k]) < 0.02 * got["c", k] for k in whole)
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality_rules.apply_rules(fx.table(spark).where("false")).count() == 0
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .common import LOWER, UPPER
 from .mixing import SLACK as MIX_SLACK
-from .quality_rules import FENCE, GAMMA, MIN_GROUP, SLACK
+from .quality_rules import FENCE, GAMMA, PRIOR_DOCS, SLACK
 
 _ITEM = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -91,7 +91,8 @@ base AS (SELECT ln.doc_id, lang, source, len(w)::BIGINT AS n_words, len(array_to
 long AS ({_LONG}),
 sketch AS (SELECT lang, source, measure, slack, CASE WHEN value > 0 THEN ceil(ln(value) / ln({GAMMA}::DOUBLE))::INT END AS bucket, count(*) AS n FROM long GROUP BY ALL),
 own AS ({_limits('lang, source')}), whole AS ({_limits('')}),
-bad AS (SELECT DISTINCT long.doc_id FROM long JOIN whole USING (measure) LEFT JOIN own ON own.measure = long.measure AND own.lang IS NOT DISTINCT FROM long.lang AND own.source IS NOT DISTINCT FROM long.source AND own.docs >= {MIN_GROUP} WHERE value > coalesce(own.lim, whole.lim)),
+lim AS (SELECT own.lang, own.source, measure, (own.docs::DOUBLE * own.lim + {PRIOR_DOCS}::DOUBLE * whole.lim) / (own.docs::DOUBLE + {PRIOR_DOCS}::DOUBLE) AS lim FROM own JOIN whole USING (measure)),
+bad AS (SELECT DISTINCT long.doc_id FROM long JOIN lim ON lim.measure = long.measure AND lim.lang IS NOT DISTINCT FROM long.lang AND lim.source IS NOT DISTINCT FROM long.source WHERE value > lim.lim),
 out AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM out
 """

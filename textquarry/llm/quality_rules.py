@@ -2,9 +2,10 @@
 
 Measures of a text become counts in logarithmic buckets (ratio GAMMA, so a quantile is off by 2.5 % at
 most), one sketch for each language, source and measure. Sketches merge by adding counts, so partial
-ones meet in the shuffle's map side, and a small group uses the sketch of the whole table. A limit is
-the upper quartile plus FENCE interquartile ranges or the measure's slack, whichever is more; texts
-above any limit go, after a join on language and source.
+ones meet in the shuffle's map side. A limit is the upper quartile plus FENCE interquartile ranges or the
+measure's slack, whichever is more. A group's limit is the mean of its own and the whole table's, weighted
+by its documents and by PRIOR_DOCS, so that it moves from one to the other smoothly as the group grows;
+texts above any limit go, after a join on language and source.
 
 Null text has no words. Null language or source is a group of its own. Base figures follow fixed rules.
 """
@@ -26,8 +27,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 GAMMA = 1.05
 FENCE = 3.0
-#: Groups of fewer documents use the sketch of all documents.
-MIN_GROUP = 50
+#: The whole table's limit weighs as much in a group's as so many documents of the group.
+PRIOR_DOCS = 50
 #: Measures, and how far above the upper quartile a limit lies at least.
 SLACK = {"symbol_share": 0.05, "capital_share": 0.25, "repeat_share": 0.28, "dup_line_share": 0.5, "word_length": 6.0}
 
@@ -109,16 +110,19 @@ def limits(sketch: DataFrame, by: list[str], fence: float = FENCE) -> DataFrame:
     return out.select(*by, "measure", (F.col("high") + F.greatest(fence * (F.col("high") - F.col("low")), slack)).alias("limit"), "docs")
 
 
-def apply_rules(docs: DataFrame, min_group: int = MIN_GROUP, fence: float = FENCE) -> DataFrame:
+def group_limits(sketch: DataFrame, prior_docs: int = PRIOR_DOCS, fence: float = FENCE) -> DataFrame:
+    """lang, source, measure, limit, docs: the limits of groups, drawn to those of the whole table."""
+    whole = limits(sketch, [], fence).select("measure", F.col("limit").alias("whole_limit"))
+    own = limits(sketch, ["lang", "source"], fence).join(F.broadcast(whole), "measure")  # a row a measure
+    limit = (F.col("docs") * F.col("limit") + prior_docs * F.col("whole_limit")) / (F.col("docs") + prior_docs)
+    return own.select("lang", "source", "measure", limit.alias("limit"), "docs")
+
+
+def apply_rules(docs: DataFrame, prior_docs: int = PRIOR_DOCS, fence: float = FENCE) -> DataFrame:
     """doc_id, the base figures, base_failed, kept, failed (measures above their limits, comma-joined)."""
     measured = materialize(measure(docs), "measures")
     sketch = materialize(sketches(measured), "sketches")
-    own = limits(sketch, ["lang", "source"], fence).where(F.col("docs") >= min_group)
-    whole = limits(sketch, [], fence).select(F.col("measure").alias("any_measure"), F.col("limit").alias("any_limit"))
-    groups = sketch.select("lang", "source", "measure").distinct().join(whole, F.col("measure") == F.col("any_measure"))
-    own = own.select(F.col("lang").alias("o_lang"), F.col("source").alias("o_source"), F.col("measure").alias("o_measure"), F.col("limit").alias("own_limit"))
-    same = F.col("lang").eqNullSafe(F.col("o_lang")) & F.col("source").eqNullSafe(F.col("o_source")) & (F.col("measure") == F.col("o_measure"))
-    table = groups.join(own, same, "left").withColumn("limit", F.coalesce("own_limit", "any_limit"))
+    table = group_limits(sketch, prior_docs, fence)
     table = table.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"max_{m}") for m in SLACK])
     table = table.withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     out = measured.join(table, measured["lang"].eqNullSafe(table["t_lang"]) & measured["source"].eqNullSafe(table["t_source"]), "left")
