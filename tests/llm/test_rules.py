@@ -329,3 +329,17 @@ def test_line_dedup_of_an_empty_table(spark):
 
 def test_queries_are_registered_once_an_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("operator", [quality_rules.apply_rules, licenses.scan_licenses])
+def test_clashing_columns_and_repeated_rows_change_nothing(spark, operator):
+    docs = fx.table(spark)
+    clashing = docs
+    for c in ("limit", "measure", "words", "n", "docs", "bucket", "failed", "labels", "score", "t_lang"):
+        clashing = clashing.withColumn(c, F.lit("x"))
+    want = sorted(map(tuple, operator(docs).collect()), key=str)
+    assert sorted(map(tuple, operator(clashing).collect()), key=str) == want
+    twice = operator(clashing.unionByName(clashing)).groupBy("doc_id").count()
+    once_each = operator(docs).groupBy("doc_id").count()
+    assert {(r.doc_id, r["count"]) for r in twice.collect()} == {(r.doc_id, 2 * r["count"]) for r in once_each.collect()}
+    assert operator(clashing.where("false")).count() == 0

@@ -4,6 +4,8 @@ evaluation of the licence expressions that follow the tags.
 A text is lower-cased (A-Z) and reduced to its words; one automaton finds all phrases as runs of whole
 words. After a tag, the rest of the raw line is a licence expression of identifiers, and / or / with and
 parentheses. Null text has no words; an expression that does not parse keeps the identifiers it names.
+Long texts are scanned whole. Repeated rows are scanned and returned each; an empty table gives no rows. Columns other
+than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

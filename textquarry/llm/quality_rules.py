@@ -7,7 +7,10 @@ measure's slack, whichever is more. A group's limit is the mean of its own and t
 by its documents and by PRIOR_DOCS, so that it moves from one to the other smoothly as the group grows;
 texts above any limit go, after a join on language and source.
 
-Null text has no words. Null language or source is a group of its own. Base figures follow fixed rules.
+Null and empty texts have no words and fail the base rules, which are fixed. Null language or source is a group of
+its own. Long texts are read whole. Repeated rows are judged alike, each counts in the sketches and each is returned;
+a value equal to its limit is kept. An empty table gives no rows. Columns other than doc_id, text, lang and source
+are not read, whatever their names.
 """
 
 from __future__ import annotations
