@@ -21,7 +21,7 @@ def odd(spark, tmp_path_factory):
     return d, con
 
 
-@pytest.mark.parametrize("name", ["sections"])
+@pytest.mark.parametrize("name", ["sections", "blocks_annotated", "blocks_page"])
 def test_odd_documents_agree_with_sql(spark, odd, name):
     d, con = odd
     same(registry.QUERIES[name](spark, d), con, registry.ORACLES[name])
