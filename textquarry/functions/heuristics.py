@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import compact
+from .text import bound, compact
 
 # Headings of reference lists, cues of references, publication words, boilerplate phrases, and the
 # patterns of a cited year, a citation's start, a contents title, a page count and a contents line.
@@ -31,6 +33,8 @@ BOILERPLATE_PHRASES = (
     "preprint",
     "this version posted",
 )
+#: Every boilerplate phrase and title holds one of these, whatever its spaces.
+BOILERPLATE_HINTS = ("cit", "right", "commons", "manuscript", "online", "supp", "correspond", "print", "posted", "download", "contents", "page")
 CITED_YEAR = r"\(\d{4}[a-z]?\)"
 CITATION_START = r"^[\p{L}\p{M}'’.-]+,\s+(?:\p{Lu}[\p{L}\p{M}'’.-]*|\p{Lu}\.)[\s\S]{0,120}\(\d{4}[a-z]?\)"
 CONTENTS_TITLE = r"(?i)^(?:contents|table of contents)$"
@@ -61,7 +65,13 @@ def reference_like(text: Column, path: Column) -> Column:
 
 
 def boilerplate_like(text: Column) -> Column:
-    t = compact(text)
+    """Texts without any hint, the most, are not matched with the patterns."""
+    low = F.lower(text)
+    hinted = bound(low, lambda x: reduce(lambda a, b: a | b, [x.contains(h) for h in BOILERPLATE_HINTS]))
+    return F.when(hinted, _boilerplate(compact(text))).when(text.isNotNull(), F.lit(False))
+
+
+def _boilerplate(t: Column) -> Column:
     phrase = t.rlike(f"(?i){_B}{_any(BOILERPLATE_PHRASES)}(?:{_E}|(?<=:))")
     return (t != "") & (phrase | t.rlike(CONTENTS_TITLE) | t.rlike(PAGE_COUNT))
 
